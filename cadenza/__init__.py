@@ -1,0 +1 @@
+"""A Spark-first engine for recommendation analytics and training-data preparation."""
