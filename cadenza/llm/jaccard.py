@@ -313,6 +313,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the first in the order of the table's partitions.
+
+    Works on rows, so repeated and null ids are told apart. ``docs`` must give the same
+    rows in the same partitions when read twice, as a table scan does.
+    """
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
+    dropped = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__row")), "jaccard-dropped")
+    return rows.join(dropped, "__row", "left_anti").drop("__row")
+
+
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at Jaccard 0.75 of five-word shingles."""
     from cadenza.llm.common import table

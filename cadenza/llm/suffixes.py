@@ -301,14 +301,16 @@ def _counted_spans(rows: DataFrame, length: int) -> DataFrame:
     return salted.join(spread, ["key", "key2", "salt"]).select("uid", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", with_kept: bool = True) -> DataFrame:
-    """``docs`` with (n_bytes, n_removed, n_spans, kept_sha256, kept binary) in place of the text column.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", kept: str | None = "binary") -> DataFrame:
+    """``docs`` with (n_bytes, n_removed, n_spans, kept_sha256, kept) in place of the text column.
 
     Every byte covered by a ``length``-byte string that also starts elsewhere, in the same
     or another row, is removed; strings are judged on the input. Each row is a document,
     so repeated rows remove each other; a null text is empty; texts shorter than
     ``length`` stay whole. ``docs`` must give the same rows in the same partitions when
-    read twice, as a table scan does. ``kept`` may end inside a character where a span did.
+    read twice, as a table scan does. A span may begin or end inside a character: ``kept`` as
+    binary has all remaining bytes, as string it has the whole characters among them, and
+    with None it is left out.
     """
     if length < 64:
         raise ValueError("strings of fewer than 64 bytes need a shorter gram")
@@ -329,7 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     by_doc = spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     whole = dealt.join(by_doc, "uid", "left")
     others = [c for c in docs.columns if c != text_col]
-    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_kept
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string() if kept == "string" else pa.binary())] * bool(kept)
 
     def cut(batches):
         for batch in byte_slices(batches, "__text", 8 << 20):
@@ -342,19 +344,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
-                kept, at = [], 0
+                pieces, at = [], 0
                 for a, b in merged:
-                    kept.append(text[at:a])
+                    pieces.append(text[at:a])
                     at = b
-                left = b"".join([*kept, text[at:]])
-                values = [len(text), len(text) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left]
+                left = b"".join([*pieces, text[at:]])
+                values = [len(text), len(text) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if kept == "string" else left]
                 for column, value in zip(out, values, strict=False):
                     column.append(value)
             own = [batch.column(f"__{i}") for i in range(len(others))]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, (_, t) in zip(out, fields, strict=True))], names=[*(f"__{i}" for i in range(len(others))), *(n for n, _ in fields)])
 
     types = dict(docs.dtypes)
-    spec = ", ".join([f"__{i} {types[c]}" for i, c in enumerate(others)] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept binary"] * with_kept)
+    spec = ", ".join([f"__{i} {types[c]}" for i, c in enumerate(others)] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + [f"kept {kept}"] * bool(kept))
     named = whole.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(others)], F.col(text_col).alias("__text"), F.col("spans").alias("__spans"))
     done = named.mapInArrow(cut, spec)
     return done.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(others)], *[n for n, _ in fields])
@@ -365,4 +367,4 @@ def op1_suffixes(spark, sf_dir: str) -> DataFrame:
     from cadenza.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return remove_repeats(docs, with_kept=False)
+    return remove_repeats(docs, kept=None)

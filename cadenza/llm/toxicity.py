@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,21 +161,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, score), one for each row of ``docs``, over whole texts; a map without a shuffle.
-
-    A null text counts as empty and gets the score of the bias alone.
-    """
-    schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
+def toxicity_column(model: ToxicityModel, text):
+    """The score of a text column, over whole texts; a null text counts as empty and gets the bias alone."""
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         place = model.place()
-        for batch in byte_slices(batches, "text", BATCH_BYTES):
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            yield pa.record_batch([batch.column("id"), pa.array(model.scores(texts, place))], schema=schema)
+        for column in columns:
+            texts = pa.array(column.fillna(""), pa.string())
+            parts = [model.scores(b.column(0).to_pylist(), place) for b in byte_slices(iter([pa.record_batch([texts], names=["t"])]), "t", BATCH_BYTES)]
+            yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return score(text)
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, score), one for each row of ``docs``; a map without a shuffle."""
+    return docs.select(F.col(id_col).cast("long").alias(id_col), toxicity_column(model, F.col(text_col)).alias("score"))
 
 
 def training_part(docs: DataFrame) -> DataFrame:
