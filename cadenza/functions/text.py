@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalized(text, keep: str = "") -> Column:
@@ -26,7 +27,7 @@ def ascii_key(text: str) -> str:
     return " ".join(re.findall(r"[a-z0-9]+", plain.casefold().replace("&", " and ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_normalized(text: pd.Series) -> pd.Series:
     """``ascii_key`` of a column; Spark has no decomposition of its own. Null stays null."""
     return text.map(ascii_key, na_action="ignore")
