@@ -550,10 +550,11 @@ def hybrid_dense(spark, sf):
 
 SQL_EVALUATED = """, rel AS (SELECT user_id, count(*) AS relevant FROM truth WHERE user_id IN (SELECT user_id FROM recs) GROUP BY user_id),
 hits AS (SELECT user_id, rank FROM recs JOIN truth USING (user_id, item_id)), ks AS (SELECT unnest([10, 20]) AS k),
-per AS (SELECT k, r.user_id, relevant, count(h.rank) AS n, coalesce(sum(1 / log2(h.rank + 1)), 0) AS dcg FROM ks, rel r LEFT JOIN hits h ON h.user_id = r.user_id AND h.rank <= k GROUP BY ALL)
+per AS (SELECT k, r.user_id, relevant, count(h.rank) AS n, coalesce(sum(1 / log2(h.rank + 1)), 0) AS dcg FROM ks, rel r LEFT JOIN hits h ON h.user_id = r.user_id AND h.rank <= k GROUP BY ALL),
+exposed AS (SELECT k, count(DISTINCT item_id) AS e FROM ks JOIN (SELECT recs.* FROM recs JOIN rel USING (user_id)) q ON q.rank <= k GROUP BY k)
 SELECT k::BIGINT AS k, count(*) AS users, round(avg(n / relevant), 6) AS recall, round(avg(dcg / list_sum(list_transform(range(1, least(k, relevant) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg, round(avg((n > 0)::INT), 6) AS hit_rate,
-  round((SELECT count(DISTINCT item_id) FROM recs q JOIN rel USING (user_id) WHERE q.rank <= k) / (SELECT count(DISTINCT item_id) FROM train), 6) AS coverage, (SELECT count(DISTINCT item_id) FROM recs q JOIN rel USING (user_id) WHERE q.rank <= k) AS exposed_items
-FROM per GROUP BY k"""
+  round(any_value(e) / (SELECT count(DISTINCT item_id) FROM train), 6) AS coverage, any_value(e) AS exposed_items
+FROM per JOIN exposed USING (k) GROUP BY k"""
 
 
 @query(f"WITH {SQL_SPLIT}{SQL_BM25}{_sql_knn('bm')}{SQL_CF}, {_sql_top('cf', 20, 'score > 0')}{SQL_EVALUATED}")
