@@ -1,0 +1,75 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from cadenza.llm import brown, toxicity
+
+
+def test_exchange_finds_classes():
+    rng = np.random.default_rng(3)
+    kind = np.repeat([0, 1, 2, 3], 10)
+    nxt = {0: 1, 1: 0, 2: 3, 3: 2}
+    counts = np.zeros((40, 40))
+    for _ in range(20_000):
+        a = rng.integers(40)
+        counts[a, rng.choice(np.flatnonzero(kind == nxt[kind[a]]))] += 1
+    of = brown.exchange(counts, 4)
+    assert all(len(set(of[kind == k])) == 1 for k in range(4)) and len(set(of)) == 4
+
+
+def test_scores(spark, small):
+    rows = {r.doc_id: r for r in brown.op6_brown(spark, small).collect()}
+    words = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}
+    count = Counter()
+    for i, w in words.items():
+        if not held[i]:
+            count.update([*w, b""])
+    n, v = sum(count.values()), len(count)
+    for i, w in words.items():
+        r = rows[i]
+        base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*w, b""])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w) + 1, sum(count[x] > 0 for x in [*w, b""]), n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isfinite(r.score) and r.score < 0
+    assert sum(r.score for r in rows.values() if r.held_out) > sum(r.base_score for r in rows.values() if r.held_out)
+
+
+def test_score_cases(spark):
+    rows = [(1, "a b a", True, "x"), (None, "a", False, None), (2, None, False, "y"), (2, "a zz\tB", False, "z"), (2, "a zz\tB", False, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, c string")
+    found = brown.score_documents(docs).collect()
+    assert len(found) == 5 and {r.train_tokens for r in found} == {11} and all(math.isfinite(r.score) for r in found)
+    assert brown.score_documents(docs.limit(0)).collect() == []
+    assert brown.perplexity(brown.score_documents(docs)).count() == 2
+
+
+def test_toxicity(spark, small):
+    small = small.replace("sf0.001", "sf0.01")
+    rows = toxicity.op7_toxicity(spark, small).collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    known = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    bad, good = [s for s, y in known if y], [s for s, y in known if not y]
+    assert np.mean([a > b for a in bad for b in good]) > 0.85
+
+
+def test_toxicity_cases(spark):
+    docs = spark.createDataFrame([(1, "you idiot", "x"), (2, None, "x"), (None, "fine", "y"), (3, "", "z"), (3, "", "z")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)  # one class only
+    found = toxicity.score_toxicity(docs, model).collect()
+    assert len(found) == 5 and all(0 < r.score < 1 for r in found)
+    model = toxicity.fit_toxicity(docs, labels.limit(0))
+    assert toxicity.score_toxicity(docs, model).agg({"score": "max"}).first()[0] < 0.3
+    assert toxicity.score_toxicity(docs.limit(0), model).collect() == []
+
+
+def test_ngrams_stay_inside():
+    texts = ["ab", "Abc\nd", ""]
+    for n, (owner, bucket) in zip(toxicity.SIZES, toxicity.ngram_buckets(texts), strict=True):
+        want = [max(0, len(t) + 2 - n + 1) for t in texts]
+        assert np.bincount(owner, minlength=3).tolist() == want and bucket.max(initial=0) < 1 << toxicity.BITS
