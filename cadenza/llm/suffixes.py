@@ -172,11 +172,13 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             uid = batch.column("uid").to_numpy()
             data, offsets = _flat(batch.column("text"))
             if len(data) <= 4 * SEGMENT:
-                cuts = [(0, len(data), offsets[:-1], offsets[1:])]
-            else:  # one long text: stretches that overlap by a window less one
-                cuts = [(s, min(s + SEGMENT + length - 1, len(data)), np.array([0]), np.array([min(SEGMENT + length - 1, len(data) - s)])) for s in range(0, len(data), SEGMENT)]
-            for low, high, starts, ends in cuts:
+                cuts = [(0, len(data), None)]
+            else:  # long texts, row by row: stretches that overlap by a window less one
+                cuts = [(s, min(s + SEGMENT + length - 1, offsets[row + 1]), row) for row in range(len(uid)) for s in range(offsets[row], offsets[row + 1], SEGMENT)]
+            for low, high, row in cuts:
+                starts, ends = (offsets[:-1], offsets[1:]) if row is None else (np.array([0]), np.array([high - low]))
                 text, begin, runs, offset, h, c = anchor_runs(data[low:high], starts, ends, length)
+                text = text if row is None else text + row
                 yield pa.record_batch(
                     [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(uid[text]), pa.array(begin + low - offsets[text]), pa.array(runs.astype(np.int16)), pa.array(offset.astype(np.int16))],
                     names=["h", "c", "uid", "p", "m", "d"],
