@@ -5,7 +5,8 @@ least 32-byte gram (its anchor), equal windows have equal anchors at equal offse
 an anchor serves a run of about 85 neighbouring windows. So one row for each run finds
 what may repeat; runs whose whole stretch of text is the same wherever their anchor
 occurs are settled by hashes, and only the stretches around edits and ends of copies go
-to the suffix sort.
+to the suffix sort. A group with very many of those is sorted in shares, and windows that
+are alone in theirs are compared across shares by two hashes.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from cadenza.llm.common import byte_slices, default_parts, stored
 LENGTH, GRAM = 200, 32
 #: Bytes that are searched for anchors at once; positions must fit 24 bits.
 SEGMENT = 3 << 20
-#: Stretches with one anchor that are sorted in one task; windows of larger groups are counted by hash.
+#: Stretches with one anchor that are sorted together; larger groups are sorted in several shares.
 GROUP_ROWS = 4096
-#: Stretches that a task sorts at once, and shares of a hot window's rows.
-SORT_ROWS, SALTS = 20_000, 16
+#: Stretches that a task sorts at once.
+SORT_ROWS = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (11, 12)]
 
@@ -188,35 +189,38 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _stretches(dealt: DataFrame, length: int) -> DataFrame:
-    """Rows of open runs: their stretch of text (kind 1), or each window's two hashes (kind 2)."""
+    """(key, hot, uid, p, d, body): the stretches of text of open runs.
+
+    ``key`` is the anchor's hash, or, where the anchor's group is dealt to several shares
+    by document, a hash of the anchor and the share; such rows are ``hot``.
+    """
 
     def emit(batches):
         for batch in byte_slices(batches, "text", SEGMENT):
             for row in range(batch.num_rows):
-                data, _ = _flat(batch.column("text").slice(row, 1))
+                raw = _flat(batch.column("text").slice(row, 1))[0].tobytes()
                 uid = batch.column("uid")[row].as_py()
                 marks = batch.column("marks")[row].values
-                h, p, m, d, kind = (marks.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-                one = np.flatnonzero(kind == 1)
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(p[one].tolist(), (p[one] + m[one] - 1 + length).tolist(), strict=True)]
-                yield _rows(np.ones(len(one), np.int16), h[one], np.zeros(len(one), np.int64), np.full(len(one), uid), p[one], d[one], texts)
-                two = np.flatnonzero(kind == 2)
-                if len(two):
-                    windows = np.unique(np.concatenate([np.arange(a, a + b) for a, b in zip(p[two].tolist(), m[two].tolist(), strict=True)]))
-                    keys = [_mix(PrefixHashes(data, seed).of(windows, windows + length)).view(np.int64) for seed in (0, 1)]
-                    yield _rows(np.full(len(windows), 2, np.int16), *keys, np.full(len(windows), uid), windows, np.zeros(len(windows)), [None] * len(windows))
-
-    def _rows(kind, key, key2, uid, p, d, texts):
-        return pa.record_batch([pa.array(kind), pa.array(key), pa.array(key2), pa.array(uid, pa.int64()), pa.array(p, pa.int64()), pa.array(d.astype(np.int16)), pa.array(texts, pa.binary())], names=["kind", "key", "key2", "uid", "p", "d", "body"])
+                h, p, m, d, shares = (marks.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+                share = _mix(np.full(len(h), uid, np.int64).view(np.uint64)) % shares.astype(np.uint64)
+                key = np.where(shares > 1, _mix(h.view(np.uint64) + _mix(share + np.uint64(1))).view(np.int64), h)
+                bodies = [raw[a:b] for a, b in zip(p.tolist(), (p + m - 1 + length).tolist(), strict=True)]
+                yield pa.record_batch(
+                    [pa.array(key), pa.array(shares > 1), pa.array(np.full(len(h), uid)), pa.array(p), pa.array(d.astype(np.int16)), pa.array(bodies, pa.binary())], names=["key", "hot", "uid", "p", "d", "body"]
+                )
 
-    return dealt.select("uid", "text", "marks").mapInArrow(emit, "kind short, key long, key2 long, uid long, p long, d short, body binary")
+    return dealt.select("uid", "text", "marks").mapInArrow(emit, "key long, hot boolean, uid long, p long, d short, body binary")
 
 
 def _sorted_spans(rows: DataFrame, parts: int, length: int) -> DataFrame:
-    """(uid, a, b) of repeated bytes in the stretches (key, uid, p, d, body), by suffix sort."""
+    """(state, uid, a, b, key, key2) of the stretches (key, hot, uid, p, d, body), by suffix sort.
 
-    def settle(key, uid, p, d, bodies):
+    State 0 is a span of repeated bytes. A hot group's share settles what repeats in it;
+    of a hot group there also are, with two hashes of the window, state 1 for a window
+    from a that is alone in its share, and state 2 for one that repeats there.
+    """
+
+    def settle(key, hot, uid, p, d, bodies):
         """Equal stretches of an anchor are one class; classes' windows are sorted against each other."""
         named: dict = {}
         member = np.fromiter((named.setdefault((k, o, b), len(named)) for k, o, b in zip(key.tolist(), d.tolist(), bodies, strict=True)), np.int64, len(bodies))
@@ -245,21 +249,33 @@ def _sorted_spans(rows: DataFrame, parts: int, length: int) -> DataFrame:
         twin[:-1] |= common[1:] >= length
         repeated = size[owner] > 1
         repeated[candidate[order[twin]]] = True
+        rows_of = np.argsort(member, kind="stable")
+        first_row = np.searchsorted(member[rows_of], np.arange(len(classes)))
+        of_hot = np.flatnonzero(hot[rows_of[first_row]][owner])
+        if len(of_hot):
+            keys = np.stack([_mix(x.of(start[of_hot], start[of_hot] + length)) for x in (hashes, PrefixHashes(data, 1))]).view(np.int64)
+            alone = ~repeated[of_hot]
+            row = rows_of[first_row[owner[of_hot[alone]]]]
+            yield _settled(1, uid[row], p[row] + place[of_hot[alone]], None, keys[:, alone])
+            yield _settled(2, None, None, None, np.unique(keys[:, ~alone], axis=1))
         # neighbouring repeated windows of a class form a span
         edge = np.flatnonzero(repeated)
         if not len(edge):
-            return None
+            return
         fresh = np.ones(len(edge), bool)
         fresh[1:] = (np.diff(edge) != 1) | (owner[edge[1:]] != owner[edge[:-1]])
         low = edge[fresh]
         high = edge[np.append(np.flatnonzero(fresh)[1:], len(edge)) - 1]
         a, b, of = place[low], place[high] + length, owner[low]
-        rows_of = np.argsort(member, kind="stable")
-        first = np.searchsorted(member[rows_of], of)
         times = size[of]
         span = np.repeat(np.arange(len(of)), times)
-        row = rows_of[np.repeat(first, times) + np.arange(len(span)) - np.repeat(np.cumsum(times) - times, times)]
-        return pa.record_batch([pa.array(uid[row]), pa.array(p[row] + a[span]), pa.array(p[row] + b[span])], names=["uid", "a", "b"])
+        row = rows_of[np.repeat(first_row[of], times) + np.arange(len(span)) - np.repeat(np.cumsum(times) - times, times)]
+        yield _settled(0, uid[row], p[row] + a[span], p[row] + b[span], None)
+
+    def _settled(state, uid, a, b, keys):
+        n = len(uid) if uid is not None else keys.shape[1]
+        columns = [uid, a, b, *(keys if keys is not None else (None, None))]
+        return pa.record_batch([pa.array(np.full(n, state, np.int16)), *(pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns)], names=["state", "uid", "a", "b", "key", "key2"])
 
     def run(batches):
         held: list = []
@@ -277,30 +293,28 @@ def _sorted_spans(rows: DataFrame, parts: int, length: int) -> DataFrame:
                 key = table["key"].to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
                 if cut:
-                    if (found := solve(table.slice(0, cut))) is not None:
-                        yield found
+                    yield from solve(table.slice(0, cut))
                     held, count = table.slice(cut).to_batches(), len(table) - cut
-        if held and (found := solve(pa.Table.from_batches(held))) is not None:
-            yield found
+        if held:
+            yield from solve(pa.Table.from_batches(held))
 
     def solve(table):
-        return settle(*(table[c].to_numpy() for c in ("key", "uid", "p", "d")), table["body"].to_pylist())
+        hot = table["hot"].to_numpy().astype(bool)
+        return settle(table["key"].to_numpy(), hot, *(table[c].to_numpy() for c in ("uid", "p", "d")), table["body"].to_pylist())
 
-    dealt = rows.select("key", "uid", "p", "d", "body").repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "uid long, a long, b long")
+    dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "state short, uid long, a long, b long, key long, key2 long")
 
 
-def _counted_spans(rows: DataFrame, length: int) -> DataFrame:
-    """(uid, a, b) of windows (key, key2, uid, p) whose two hashes occur more than once.
+def _across_shares(settled: DataFrame, length: int) -> DataFrame:
+    """(uid, a, b) of windows that are alone in their share of a hot group but occur in another one.
 
-    For anchors with more stretches than a task sorts. Counting combines on the map side,
-    and the rows of a hot window are salted for the way back.
+    A window that repeats in a share is counted there once, so a hot window has as many
+    rows as there are shares, and only windows alone in theirs are joined back.
     """
-    own = rows.select("key", "key2", "uid", "p")
-    repeated = own.groupBy("key", "key2").agg(F.count("*").alias("n")).where("n > 1")
-    spread = repeated.select("key", "key2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, ["key", "key2", "salt"]).select("uid", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
+    open_ = settled.where("state > 0").select("state", "uid", "a", "key", "key2")
+    repeated = open_.groupBy("key", "key2").agg(F.count("*").alias("n")).where("n > 1").select("key", "key2")
+    return open_.where("state = 1").join(repeated, ["key", "key2"]).select("uid", "a", (F.col("a") + length).alias("b"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", kept: str | None = "binary") -> DataFrame:
@@ -320,16 +334,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     rows = docs.withColumn("uid", F.monotonically_increasing_id())
     anchors = _anchors(rows.select("uid", F.col(text_col).alias("text")), length)
     groups = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
-    kinds = stored(groups.select("h", F.when(F.col("low") == F.col("high"), 0).when(F.col("n") <= GROUP_ROWS, 1).otherwise(2).cast("short").alias("kind")), "repeat-anchors")
+    shares = F.when(F.col("low") == F.col("high"), 0).otherwise(F.ceil(F.col("n") / GROUP_ROWS))  # 0: all stretches are equal
+    kinds = stored(groups.select("h", shares.cast("long").alias("shares")), "repeat-anchors")
     marks = stored(anchors.select("h", "uid", "p", "m", "d").join(kinds, "h"), "repeat-marks")
     dealt = rows.repartition(parts, "uid")
-    open_ = marks.where("kind > 0").groupBy("uid").agg(F.collect_list(F.struct("h", "p", "m", "d", "kind")).alias("marks"))
+    open_ = marks.where("shares > 0").groupBy("uid").agg(F.collect_list(F.struct("h", "p", "m", "d", "shares")).alias("marks"))
     stretches = _stretches(dealt.select("uid", F.col(text_col).alias("text")).join(open_, "uid"), length)
-    one = stored(_sorted_spans(stretches.where("kind = 1"), parts, length), "repeat-sorted")
-    two = _counted_spans(stretches.where("kind = 2"), length)
-    if marks.where("kind = 2").isEmpty():  # nothing to count: spares the plan a branch
-        two = one.limit(0)
-    spans = marks.where("kind = 0").select("uid", F.col("p").alias("a"), (F.col("p") + F.col("m") - 1 + length).alias("b")).union(one).union(two)
+    settled = stored(_sorted_spans(stretches, parts, length), "repeat-sorted")
+    equal = marks.where("shares = 0").select("uid", F.col("p").alias("a"), (F.col("p") + F.col("m") - 1 + length).alias("b"))
+    spans = equal.union(settled.where("state = 0").select("uid", "a", "b")).union(_across_shares(settled, length))
     by_doc = spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     whole = dealt.join(by_doc, "uid", "left")
     others = [c for c in docs.columns if c != text_col]
