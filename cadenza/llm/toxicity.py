@@ -15,6 +15,8 @@ from cadenza.llm.common import byte_slices, in_fold, stored
 
 #: Lengths of the character n-grams, and the bits of their hash.
 SIZES, BITS = (3, 4, 5), 22
+#: An n-gram gives a feature for each of these numbers of times that it occurs at least.
+LEVELS = (1, 2, 3)
 #: Bounds of the fit: labelled rows, in hash order of their ids, and n-grams kept.
 MAX_ROWS, MAX_FEATURES = 20_000, 4096
 #: Least log-likelihood ratio between an n-gram and the label.
@@ -43,30 +45,44 @@ def ngram_buckets(texts: list[str], sizes=SIZES, bits: int = BITS):
             yield owner[: len(h)][inside], (mixed[inside] >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _levels(owner: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, feature) pairs, each once: bucket * levels + level for each level that is reached."""
+    both, n = np.unique(owner.astype(np.int64) << BITS | bucket, return_counts=True)
+    parts = [(both[n >= least], k) for k, least in enumerate(LEVELS)]
+    return np.concatenate([p >> BITS for p, _ in parts]), np.concatenate([(p & ((1 << BITS) - 1)) * len(LEVELS) + k for p, k in parts])
+
+
 @dataclass
 class ToxicityModel:
-    """Weights of the kept buckets; ``score`` is 1 / (1 + exp(-(bias + sum of weights of present n-grams)))."""
+    """Weights of the kept features; ``score`` is 1 / (1 + exp(-(bias + sum of weights of features present)))."""
 
-    buckets: np.ndarray
+    features: np.ndarray
     ratios: np.ndarray
     weights: np.ndarray
     bias: float
 
     def present(self, texts: list[str], place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(document index, feature index) of the kept n-grams in each text, each pair once."""
+        """(document index, place of the feature) of the kept features in each text, each pair once."""
         place = self.place() if place is None else place
-        pairs = [np.empty(0, np.int64)]
-        k = max(1, len(self.buckets))
+        wide = place.reshape(-1, len(LEVELS))
+        used = (wide >= 0).any(1)
+        docs, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for owner, bucket in ngram_buckets(texts):
-            at = place[bucket]
-            hit = at >= 0
-            pairs.append(np.unique(owner[hit].astype(np.int64) * k + at[hit]))
-        both = np.unique(np.concatenate(pairs))
-        return both // k, both % k
+            hit = used[bucket]
+            doc, feature = _levels(owner[hit], bucket[hit])
+            at = place[feature]
+            docs.append(doc[at >= 0])
+            found.append(at[at >= 0].astype(np.int64))
+        doc, feature = np.concatenate(docs), np.concatenate(found)
+        order = np.lexsort((feature, doc))
+        doc, feature = doc[order], feature[order]
+        fresh = np.ones(len(doc), bool)  # n-grams of two sizes may share a bucket
+        fresh[1:] = (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])
+        return doc[fresh], feature[fresh]
 
     def place(self) -> np.ndarray:
-        place = np.full(1 << BITS, -1, np.int16)
-        place[self.buckets] = np.arange(len(self.buckets), dtype=np.int16)
+        place = np.full(len(LEVELS) << BITS, -1, np.int16)
+        place[self.features] = np.arange(len(self.features), dtype=np.int16)
         return place
 
     def scores(self, texts: list[str], place: np.ndarray | None = None) -> np.ndarray:
@@ -102,9 +118,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
     """Fit on ``docs(doc_id, text)`` joined with ``labels(doc_id, toxic)``.
 
     The fit is bounded: at most ``max_rows`` labelled documents, the first in hash order
-    of their ids, and ``max_features`` n-grams with the greatest log-likelihood ratio.
-    Counting runs on the executors; the driver gets the kept n-grams' counts and the
-    sample's indices of kept n-grams. Of a document with several labels the greatest
+    of their ids, and ``max_features`` features with the greatest log-likelihood ratio; a feature is an
+    n-gram that occurs at least so many times in a document.
+    Counting runs on the executors; the driver gets the kept features' counts and the
+    sample's indices of them. Of a document with several labels the greatest
     counts; null labels and ids are ignored. With fewer than two classes the score is
     the smoothed share of toxic rows, (toxic + 1) / (rows + 10).
     """
@@ -120,18 +137,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
         return ToxicityModel(none.astype(np.int64), none, none, float(np.log(share / (1 - share))))
 
     def count(batches):
-        held = np.zeros((2, 1 << BITS), np.int32)
+        held = np.zeros((2, len(LEVELS) << BITS), np.int32)
         for batch in byte_slices(batches, "text", BATCH_BYTES):
             y = batch.column("y").to_numpy()
             for owner, bucket in ngram_buckets(batch.column("text").to_pylist()):
-                both = np.unique(owner.astype(np.int64) << BITS | bucket)
-                np.add.at(held, (y[both >> BITS], both & ((1 << BITS) - 1)), 1)
+                doc, feature = _levels(owner, bucket)
+                np.add.at(held, (y[doc], feature), 1)
         used = np.flatnonzero(held.any(0))
         for at in range(0, len(used), 100_000):
             part = used[at : at + 100_000]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(held[1, part]), pa.array(held[0, part])], names=["bucket", "a", "b"])
+            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(held[1, part]), pa.array(held[0, part])], names=["feature", "a", "b"])
 
-    counts = sample.mapInArrow(count, "bucket int, a int, b int").groupBy("bucket").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    counts = sample.mapInArrow(count, "feature int, a int, b int").groupBy("feature").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
     n = toxic + clean
 
     def cell(seen, rows_in_class, feature_total):
@@ -139,11 +156,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
 
     a, b, has = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     g2 = 2 * (cell(a, toxic, has) + cell(b, clean, has) + cell(toxic - a, toxic, n - has) + cell(clean - b, clean, n - has))
-    kept = counts.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "bucket").limit(max_features).collect()
-    buckets = np.array([r.bucket for r in kept], np.int64)
+    kept = counts.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "feature").limit(max_features).collect()
+    features = np.array([r.feature for r in kept], np.int64)
     seen = np.array([(r.a, r.b) for r in kept], float).reshape(-1, 2)
     ratios = np.log((seen[:, 0] + 1) / (toxic + 2)) - np.log((seen[:, 1] + 1) / (clean + 2))
-    model = ToxicityModel(buckets, ratios, np.zeros(len(buckets)), 0.0)
+    model = ToxicityModel(features, ratios, np.zeros(len(features)), 0.0)
 
     def index(batches):
         place = model.place()
