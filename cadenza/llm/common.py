@@ -68,6 +68,11 @@ def in_fold(doc_id, modulus: int, fold: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == fold
 
 
+def _edge_state(edges: DataFrame) -> tuple:
+    """Count and hash sum of distinct edges: equal for equal sets."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of undirected ``edges(a long, b long)``: rows (node, component).
 
@@ -77,6 +82,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     edges are not listed.
     """
     cur = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    state = _edge_state(cur)
     for _ in range(60):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -88,11 +94,11 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         pairs = large.join(least, "u")
         small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         new = stored(small, name)
-        changed = new.exceptAll(cur).isEmpty() and new.count() == cur.count()
+        before, after = state, _edge_state(new)
         discard(large)
         discard(cur)
-        cur = new
-        if changed:
+        cur, state = new, after
+        if before == after:
             break
     stars = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
