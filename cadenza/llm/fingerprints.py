@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import default_parts
+from cadenza.llm.common import default_parts, stored
 
 BITS = 64
 #: Stands for a null id in keys and order: before all others.
@@ -110,6 +110,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body"))))
     hashed = simhash(both.select(*keys, kinds.alias("x")).select(*keys, "x.kind", "x.body"), [*keys, "kind"], "body")
     wide = hashed.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("b"))
+    wide = stored(wide, "fingerprints")  # a small row a document; else the votes would be counted twice
     follow = wide.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("a").alias("n"))
     out = wide.join(follow, ["next_id", "next_th"])
     doc_id = F.when(F.col("id") > NO_ID, F.col("id"))
