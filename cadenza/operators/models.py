@@ -98,30 +98,33 @@ def global_ranking(rows: DataFrame, alpha: float = 1.0) -> DataFrame:
     return confidence(rows, alpha).groupBy("item_id").agg(F.count_distinct("user_id").alias("listeners"), F.sum("c").alias("confidence_sum"))
 
 
-def recommend_from_ranking(users: DataFrame, seen: DataFrame, ranking: DataFrame, k: int) -> DataFrame:
-    """The first k unseen items of one ranking (item_id, place) for every user.
+def longest_history(seen: DataFrame) -> int:
+    """Most items that a user has seen; no more places than this can be lost to a filter of seen items."""
+    return seen.groupBy("user_id").agg(F.count_distinct("item_id").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
-    Only the first k + m places can matter, m being the longest history, so the join of
-    users with places is bounded by that; the ranking's head is a broadcast of as many rows.
+
+def ranking_head(ranking: DataFrame, n: int, *order) -> DataFrame:
+    """(item_id, place) of the first ``n`` items: a distributed top-n, then numbered in one small task."""
+    one = Window.partitionBy(F.lit(0)).orderBy(*order)
+    return ranking.orderBy(*order).limit(n).withColumn("place", F.row_number().over(one).cast("long")).select("item_id", "place")
+
+
+def recommend_from_ranking(users: DataFrame, seen: DataFrame, ranking: DataFrame, k: int, *order) -> DataFrame:
+    """The first k unseen items of one ranking, by ``order``, for every user.
+
+    Only the first k + m places can matter, m being the longest history, so each user
+    meets as many rows and no more.
     """
     own = seen.select("user_id", "item_id").distinct()
-    longest = own.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    head = ranking.where(F.col("place") <= k + longest)
+    head = ranking_head(ranking, k + longest_history(own), *order)
     every = users.select("user_id").distinct().crossJoin(head)
     fresh = every.join(own, ["user_id", "item_id"], "left_anti")
-    order = Window.partitionBy("user_id").orderBy("place")
-    return fresh.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("user_id", "item_id", "rank")
-
-
-def placed(ranking: DataFrame, *order) -> DataFrame:
-    """``ranking`` with a place from 1 on; the head is taken by a distributed top-n where a limit follows."""
-    one = Window.partitionBy(F.lit(0)).orderBy(*order)
-    return ranking.withColumn("place", F.row_number().over(one).cast("long"))
+    by_place = Window.partitionBy("user_id").orderBy("place")
+    return fresh.withColumn("rank", F.row_number().over(by_place).cast("long")).where(F.col("rank") <= k).select("user_id", "item_id", "rank")
 
 
 def recommend_popular(rows: DataFrame, users: DataFrame, k: int = 10, alpha: float = 1.0) -> DataFrame:
-    ranked = placed(global_ranking(rows, alpha), F.desc("listeners"), F.desc(F.round("confidence_sum", 6)), "item_id")
-    return recommend_from_ranking(users, rows, ranked.select("item_id", "place"), k)
+    return recommend_from_ranking(users, rows, global_ranking(rows, alpha), k, F.desc("listeners"), F.desc(F.round("confidence_sum", 6)), "item_id")
 
 
 def history_targets(rows: DataFrame, popularity: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -140,7 +143,7 @@ def recommend_history_popularity(rows: DataFrame, users: DataFrame, popularity:
     targets = users.select("user_id").distinct().join(history_targets(rows, popularity, alpha), "user_id", "left").select("user_id", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
     items = global_ranking(rows, alpha).join(popularity, "item_id", "left").withColumn("popularity", F.coalesce("popularity", F.lit(0)))
     own = rows.select("user_id", "item_id").distinct()
-    longest = own.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    longest = longest_history(own)
     by_target = targets.select("target").distinct().crossJoin(items)  # at most 101 rows on the left
     order = Window.partitionBy("target").orderBy(F.abs(F.col("popularity") - F.col("target")), F.desc("listeners"), F.desc(F.round("confidence_sum", 6)), "item_id")
     ranked = by_target.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + longest).select("target", "item_id", "place")
@@ -158,7 +161,7 @@ def recommend_random(rows: DataFrame, users: DataFrame, k: int = 10, seed: int =
     """
     own = rows.select("user_id", "item_id").distinct()
     items = rows.select("item_id").distinct()
-    longest = own.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    longest = longest_history(own)
     buckets = items.sparkSession.range(64).select(F.col("id").alias("bucket"))
     order = Window.partitionBy("bucket").orderBy(hash_order(seed, F.col("bucket"), F.col("item_id")), "item_id")
     drawn = buckets.crossJoin(items).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + longest).select("bucket", "item_id")

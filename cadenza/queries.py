@@ -582,8 +582,8 @@ hot AS (SELECT item_id, row_number() OVER (ORDER BY round(score, 9) DESC, item_i
 SELECT round(avg((r.rank IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(1 / log2(r.rank + 1), 0)), 6) AS ndcg FROM held LEFT JOIN r USING (user_id, item_id)""")
 def single_truth(spark, sf):
     train, held = S.leave_largest_out(_interactions(spark, sf))
-    ranked = M.placed(M.popularity_scores(train), F.desc(F.round("score", 9)), "item_id").select("item_id", "place")
-    return rounded(E.single_truth_metrics(M.recommend_from_ranking(held, train, ranked, TOP), held, TOP), "recall", "ndcg")
+    recs = M.recommend_from_ranking(held, train, M.popularity_scores(train), TOP, F.desc(F.round("score", 9)), "item_id")
+    return rounded(E.single_truth_metrics(recs, held, TOP), "recall", "ndcg")
 
 
 @query(f"""WITH {SQL_SPLIT}{SQL_VEC} SELECT 'train_items_without_features' AS check_name, count(DISTINCT item_id) AS violations FROM train WHERE item_id NOT IN (SELECT item_id FROM vec)
