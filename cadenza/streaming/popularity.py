@@ -12,6 +12,6 @@ def windowed_popularity(events: DataFrame, window: str = "1 day", late: str = "2
     Works on batch and streaming frames; on a stream, state older than the watermark is
     dropped. Users are counted by a sketch, since exact distinct sets would grow without end.
     """
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events  # watermarks need a zoned type
     grouped = marked.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("events"), F.approx_count_distinct("user_id").alias("users"))
     return grouped.select(F.col("window.start").alias("start"), "event_type", "events", "users")
