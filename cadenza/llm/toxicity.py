@@ -21,7 +21,8 @@ LEVELS = (1, 2, 3)
 MAX_ROWS, MAX_FEATURES = 20_000, 4096
 #: Least log-likelihood ratio between an n-gram and the label.
 LEAST_G2 = 24.0
-BATCH_BYTES = 4 << 20
+#: Bytes of text whose n-grams are held at once; a worker's arrays are about fifty times that.
+BATCH_BYTES = 1 << 20
 
 
 def ngram_buckets(texts: list[str], sizes=SIZES, bits: int = BITS):
@@ -137,16 +138,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
         return ToxicityModel(none.astype(np.int64), none, none, float(np.log(share / (1 - share))))
 
     def count(batches):
-        held = np.zeros((2, len(LEVELS) << BITS), np.int32)
+        held = np.zeros((2, len(LEVELS) << BITS), np.uint16 if max_rows < 1 << 16 else np.uint32)
         for batch in byte_slices(batches, "text", BATCH_BYTES):
             y = batch.column("y").to_numpy()
             for owner, bucket in ngram_buckets(batch.column("text").to_pylist()):
                 doc, feature = _levels(owner, bucket)
                 np.add.at(held, (y[doc], feature), 1)
-        used = np.flatnonzero(held.any(0))
+        used = np.flatnonzero(held[0] | held[1])
         for at in range(0, len(used), 100_000):
             part = used[at : at + 100_000]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(held[1, part]), pa.array(held[0, part])], names=["feature", "a", "b"])
+            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(held[1, part].astype(np.int32)), pa.array(held[0, part].astype(np.int32))], names=["feature", "a", "b"])
 
     counts = sample.mapInArrow(count, "feature int, a int, b int").groupBy("feature").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
     n = toxic + clean
