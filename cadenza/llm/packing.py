@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import byte_slices
-from cadenza.llm.token_counts import BATCH_BYTES, _table
+from cadenza.llm.token_counts import _table
+
+#: Bytes of text whose ids and pieces are held at once.
+BATCH_BYTES = 6 << 20
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:

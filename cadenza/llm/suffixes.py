@@ -22,11 +22,11 @@ from cadenza.llm.common import byte_slices, default_parts, stored
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are searched for anchors at once; positions must fit 24 bits.
-SEGMENT = 3 << 20
+SEGMENT = 2 << 20
 #: Stretches with one anchor that are sorted together; larger groups are sorted in several shares.
 GROUP_ROWS = 4096
 #: Stretches that a task sorts at once.
-SORT_ROWS = 20_000
+SORT_ROWS = 8_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (11, 12)]
 
