@@ -101,7 +101,7 @@ def _logistic(doc, feature, ratios, y, l2: float = 1.0, rounds: int = 300) -> tu
     for _ in range(20):  # largest eigenvalue, for the step
         v = np.bincount(feature, x * np.bincount(doc, x * v[feature], n)[doc], k)
         top = np.linalg.norm(v)
-        v /= max(top, 1e-12)
+        v = v / max(top, 1e-12)
     step = 1 / (0.25 * (top + n) + l2)
     ahead_w, ahead_b, old_w, old_b = w, bias, w, bias
     for t in range(rounds):

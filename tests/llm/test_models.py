@@ -76,6 +76,9 @@ def test_toxicity_cases(spark):
     model = toxicity.fit_toxicity(docs, labels)  # one class only
     found = toxicity.score_toxicity(docs, model).collect()
     assert len(found) == 5 and all(0 < r.score < 1 for r in found)
+    both = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, both)  # both classes, but no n-gram tells them apart
+    assert len(model.features) == 0 and len({r.score for r in toxicity.score_toxicity(docs, model).collect()}) == 1
     model = toxicity.fit_toxicity(docs, labels.limit(0))
     assert toxicity.score_toxicity(docs, model).agg({"score": "max"}).first()[0] < 0.3
     assert toxicity.score_toxicity(docs.limit(0), model).collect() == []
