@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import byte_slices, default_parts, in_fold, stored
@@ -158,20 +158,6 @@ def fit_classes(docs: DataFrame, most: int = TOP_WORDS, classes: int = CLASSES)
     return BrownModel(words, of, classes, evidence, np.log(table.sum(0) / table.sum()))
 
 
-def _places(model: BrownModel, before: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """Class of each of ``n`` words from the (word, class of the neighbour before) pairs; 255 without a pair."""
-    out = np.full(n, 255, np.uint8)
-    order = np.argsort(word, kind="stable")
-    word, before = word[order], before[order]
-    for low in range(0, n, 20_000):
-        high = min(n, low + 20_000)
-        i, j = np.searchsorted(word, [low, high])
-        seen = np.bincount((word[i:j] - low) * model.classes + before[i:j], minlength=(high - low) * model.classes).reshape(-1, model.classes)
-        best = (seen @ model.evidence + model.prior).argmax(1)
-        out[low:high] = np.where(seen.any(1), best, 255)
-    return out
-
-
 def _coded(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, code of each token, tokens by text), an end token after each text."""
     lists = [[*tokens(t), END] for t in texts]
@@ -180,7 +166,10 @@ def _coded(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _block_words(model: BrownModel):
-    """For each block its words: (w, block, c in its training documents, class by its evidence)."""
+    """For each block its words: (w, block, c in its training documents, class of a top word or 255, seen).
+
+    ``seen`` lists the classes before a word that is not a top word, each as 256 * count + class.
+    """
     top = pa.array(model.words, pa.binary())
 
     def words_of(block, texts, out):
@@ -192,12 +181,15 @@ def _block_words(model: BrownModel):
         of = cls[code]
         ends = np.zeros(len(code), bool)
         ends[np.cumsum(sizes) - 1] = True
-        pair = np.flatnonzero((of[:-1] < 255) & (of[1:] == 255) & ~ends[1:] & trained[1:]) if len(code) else np.empty(0, np.int64)
-        placed = np.where(cls < 255, cls, _places(model, of[pair], code[pair + 1], len(words)))
+        pair = np.flatnonzero((of[:-1] < 255) & (of[1:] == 255) & ~ends[1:] & trained[1:])
+        keys, n = np.unique(code[pair + 1] * 256 + of[pair], return_counts=True)
+        at = np.searchsorted(keys, np.arange(len(words) + 1) * 256)
+        seen = n * 256 + keys % 256
         for low in range(0, len(words), 50_000):
-            part = slice(low, low + 50_000)
+            high = min(len(words), low + 50_000)
+            lists = pa.ListArray.from_arrays(pa.array(at[low : high + 1] - at[low], pa.int32()), pa.array(seen[at[low] : at[high]], pa.int64()))
             yield pa.record_batch(
-                [words[part], pa.array(np.full(len(count[part]), block)), pa.array(count[part]), pa.array(placed[part].astype(np.int16))], names=["w", "block", "c", "cls"]
+                [words[low:high], pa.array(np.full(high - low, block)), pa.array(count[low:high]), pa.array(cls[low:high].astype(np.int16)), lists], names=["w", "block", "c", "cls", "seen"]
             )
 
     def run(batches):
@@ -216,6 +208,55 @@ def _block_words(model: BrownModel):
     return run
 
 
+def _settle(model: BrownModel):
+    """From rows of ``_block_words`` in the order of words: (w, block, c in the corpus, class by the corpus, whether its first block)."""
+
+    def settled(rows: pa.Table):
+        rows = rows.combine_chunks()
+        w, block, c = rows["w"].combine_chunks(), rows["block"].to_numpy(), rows["c"].to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)) + 1])
+        group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(block)]))
+        lists = rows["seen"].combine_chunks()
+        values = lists.flatten().to_numpy()
+        at = np.repeat(group, pc.list_value_length(lists).to_numpy()) * model.classes + values % 256
+        seen = np.bincount(at, values // 256, len(starts) * model.classes).reshape(-1, model.classes)
+        given = rows["cls"].to_numpy()[starts]
+        placed = np.where(seen.any(1), (seen @ model.evidence + model.prior).argmax(1), model.classes + 1)
+        cls = np.where(given < 255, given, placed)
+        cls[pc.equal(w.take(pa.array(starts)), pa.scalar(END, pa.binary())).to_numpy(zero_copy_only=False)] = model.classes
+        total = np.add.reduceat(c, starts)[group]
+        home = block == np.minimum.reduceat(np.where(c > 0, block, np.iinfo(np.int64).max), starts)[group]
+        out = pa.record_batch([w, pa.array(block), pa.array(total), pa.array(cls[group].astype(np.int16)), pa.array(home)], names=["w", "block", "c", "cls", "home"])
+        return out.filter(pa.array(total > 0))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            # the last word may go on in the next batch
+            last = pc.index(rows["w"], rows["w"][-1]).as_py()
+            held = rows.slice(last)
+            if last:
+                yield settled(rows.slice(0, last))
+        if held is not None:
+            yield settled(held)
+
+    return run
+
+
+def corpus_words(rows: DataFrame, model: BrownModel) -> DataFrame:
+    """(w, block, c, cls, home) of ``rows(block, text, held_out)``: a row for each word of a block.
+
+    ``c`` and ``cls`` are those of the word in the whole corpus: a word that is not a top word has
+    the class that the classes before it, summed over all blocks, make likeliest.
+    """
+    parts = default_parts(rows.sparkSession)
+    listed = rows.select("block", "text", "held_out").mapInArrow(_block_words(model), "w binary, block long, c long, cls short, seen array<long>")
+    return listed.repartition(parts, "w").sortWithinPartitions("w").mapInArrow(_settle(model), "w binary, block long, c long, cls short, home boolean")
+
+
 def _code_documents(classes: int):
     """From a block's words, then its documents: coded documents, and how many words are at home in each state."""
     names = ["kind", "doc_id", "held_out", "n_tokens", "n_known", "sum_log", "states"]
@@ -269,9 +310,9 @@ def score_documents(docs: DataFrame, most: int = TOP_WORDS, classes: int = CLASS
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs(doc_id, text, held_out)``.
 
     A block is 8,192 neighbouring rows of the scan. It lists its distinct words with their
-    counts in its training documents and the class that their neighbours there speak for.
-    Words meet by a shuffle and get their corpus counts, and the class of the block where
-    they are most frequent; then they go back to their blocks only. So a row for each
+    counts in its training documents and the classes counted before them there. Words
+    meet by a shuffle, where both are summed over the corpus, so that a word's class does
+    not depend on the blocks; then they go back to their blocks only. So a row for each
     word of a block moves, not one for each token, no word has more rows than there are
     blocks, and no task holds more than a block's vocabulary. The coded corpus, a byte a
     token, is written once: transitions are counted on it and then applied.
@@ -285,13 +326,7 @@ def score_documents(docs: DataFrame, most: int = TOP_WORDS, classes: int = CLASS
     rows = docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
     model = fit_classes(_training(rows), most, classes)
     dealt = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), 13))
-    listed = dealt.select("block", "text", "held_out").mapInArrow(_block_words(model), "w binary, block long, c long, cls short")
-    by_word = Window.partitionBy("w")
-    evidence = F.when(F.col("cls") < 255, F.struct(F.col("c").alias("c"), (-F.col("cls")).alias("cls")))
-    best = -F.max(evidence).over(by_word)["cls"]
-    first = F.min(F.when(F.col("c") > 0, F.col("block"))).over(by_word)
-    words = listed.select("w", "block", F.sum("c").over(by_word).alias("c"), F.coalesce(best, F.lit(classes + 1)).cast("short").alias("cls"), (F.col("block") == first).alias("home")).where("c > 0")
-    words = words.withColumn("cls", F.when(F.col("w") == F.lit(END), F.lit(classes)).otherwise(F.col("cls")).cast("short"))
+    words = corpus_words(dealt, model)
     spec = {"kind": "short", "doc_id": "long", "held_out": "boolean", "text": "string", "w": "binary", "c": "long", "cls": "short", "home": "boolean"}
 
     def shaped(frame, kind):

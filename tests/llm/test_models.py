@@ -57,6 +57,17 @@ def test_score_cases(spark):
     assert brown.perplexity(brown.score_documents(docs)).count() == 2
 
 
+def test_scores_do_not_depend_on_blocks(spark):
+    # 'z' follows 'p' in the block where it is most frequent, but 'r' in the corpus
+    texts = ["p r q s p s q r"] * 9 + ["p z"] * 5 + ["r z"] * 12
+    rows = [(i, t, False) for i, t in enumerate(texts)]
+    cuts = [rows[:14], rows[14:17], rows[17:20], rows[20:23], rows[23:]]
+    spread = spark.createDataFrame(spark.sparkContext.parallelize(cuts, 5).flatMap(list), "doc_id long, text string, held_out boolean")
+    whole = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), spread.schema)
+    found = [{r.doc_id: r.score for r in brown.score_documents(d, most=4, classes=2).collect()} for d in (whole, spread)]
+    assert len(found[0]) == len(rows) and all(math.isclose(found[0][i], found[1][i], rel_tol=1e-9) for i in found[0])
+
+
 def test_toxicity(spark, small):
     small = small.replace("sf0.001", "sf0.1")
     rows = toxicity.op7_toxicity(spark, small).collect()
