@@ -20,7 +20,7 @@ from cadenza.operators import matching as A
 from cadenza.operators import metrics as E
 from cadenza.operators import models as M
 from cadenza.operators import splits as S
-from cadenza.operators.factorization import ImplicitALS, sgd_factors
+from cadenza.operators.factorization import ImplicitALS, recommend_sgd
 from cadenza.plans import fixtures as fx
 from cadenza.plans.experiment import experiment_violations
 from cadenza.plans.runners import run_grid
@@ -636,8 +636,7 @@ def als(spark, sf):
 
 @query()
 def mf_sgd(spark, sf):
-    train = checkpointed(_train(spark, sf).join(_vectors(spark, sf).select("item_id"), "item_id", "left_semi"))
-    return M.top_k_unseen(sgd_factors(train, epochs=2), train, TOP)
+    return recommend_sgd(checkpointed(_train(spark, sf)), TOP)
 
 
 @query()
