@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.ordering import hash_order
 from cadenza.functions.vectors import half_up_percent, min_max, norm
+from cadenza.session import checkpointed
 
 
 def confidence(rows: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -153,22 +154,50 @@ def recommend_history_popularity(rows: DataFrame, users: DataFrame, popularity:
 
 
 def recommend_random(rows: DataFrame, users: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
-    """k unseen items of each user in the order of SHA-256 of seed, user and item, or as many as there are.
+    """k unseen items of each user, drawn without replacement from the whole catalog, or as many as there are.
 
-    A user's candidates are drawn from a short list of the catalog, k plus the longest
-    history long and ordered by the hash of seed and user's bucket, so users times the
-    catalog is never formed.
+    Items have places 0..n-1 by the hash of seed and item. A user's draws are hashes of seed, user
+    and number of the draw, modulo n; repeats and seen items are passed over. A user makes twice
+    k plus the history draws, and those who then lack items draw again with twice as many. Once
+    draws reach the catalog's size, all its items are ordered by the hash of seed, user and item
+    for the users still left: they have seen much of the catalog, or it is small.
     """
     own = rows.select("user_id", "item_id").distinct()
     items = rows.select("item_id").distinct()
-    longest = longest_history(own)
-    buckets = items.sparkSession.range(64).select(F.col("id").alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy(hash_order(seed, F.col("bucket"), F.col("item_id")), "item_id")
-    drawn = buckets.crossJoin(items).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + longest).select("bucket", "item_id")
-    dealt = users.select("user_id").distinct().withColumn("bucket", F.pmod(F.col("user_id"), F.lit(64)))
-    fresh = dealt.join(drawn, "bucket").join(own, ["user_id", "item_id"], "left_anti")
-    final = Window.partitionBy("user_id").orderBy(hash_order(seed, F.col("user_id"), F.col("item_id")), "item_id")
-    return fresh.withColumn("rank", F.row_number().over(final).cast("long")).where(F.col("rank") <= k).select("user_id", "item_id", "rank")
+    placed = checkpointed(_places(items, hash_order(seed, F.col("item_id")), "item_id"))
+    n = placed.count()
+    histories = own.groupBy("user_id").agg(F.count("*").alias("h"))
+    everyone = users.select("user_id").distinct().join(histories, "user_id", "left").select("user_id", F.coalesce("h", F.lit(0)).alias("h"))
+    left = checkpointed(everyone.where(F.col("h") < n).withColumn("draws", 2 * (F.col("h") + k)))
+    final = Window.partitionBy("user_id").orderBy("draw", "item_id")
+    done = []
+    while not left.isEmpty():
+        few, all_ = left.where(F.col("draws") < n), left.where(F.col("draws") >= n)
+        draw = few.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws"))).alias("draw"))
+        place = F.pmod(F.conv(F.substring(hash_order(seed, F.col("user_id"), F.col("draw")), 1, 15), 16, 10).cast("long"), F.lit(max(n, 1)))
+        drawn = draw.withColumn("place", place).groupBy("user_id", "place").agg(F.min("draw").alias("draw")).join(placed, "place")
+        drawn = drawn.select("user_id", "item_id", F.lpad(F.col("draw").cast("string"), 20, "0").alias("draw"))
+        whole = all_.select("user_id").crossJoin(items).select("user_id", "item_id", hash_order(seed, F.col("user_id"), F.col("item_id")).alias("draw"))
+        fresh = drawn.union(whole).join(own, ["user_id", "item_id"], "left_anti")
+        ranked = checkpointed(fresh.withColumn("rank", F.row_number().over(final).cast("long")).where(F.col("rank") <= k).select("user_id", "item_id", "rank"))
+        got = ranked.groupBy("user_id").agg(F.count("*").alias("got"))
+        lacking = few.join(got, "user_id", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.lit(n) - F.col("h")))
+        left = checkpointed(lacking.select("user_id", "h", (F.col("draws") * 2).alias("draws")))
+        done.append(ranked.join(left.select("user_id"), "user_id", "left_anti"))
+    out = done[0] if done else own.select("user_id", "item_id", F.lit(1).cast("long").alias("rank")).limit(0)
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
+
+def _places(items: DataFrame, *order) -> DataFrame:
+    """(item_id, place) with places 0..n-1 by ``order``: a distributed sort, then numbers within its partitions."""
+    cut = checkpointed(items.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    first, before = {}, 0
+    for r in cut.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low")).orderBy("part").collect():  # a row a partition
+        first[r.part], before = before - r.low, before + r.n
+    shift = F.create_map(*[F.lit(x) for p in first.items() for x in p])[F.col("part")] if first else F.lit(0)
+    return cut.select("item_id", (F.col("at") + shift).cast("long").alias("place"))
 
 
 # Content
