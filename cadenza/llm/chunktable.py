@@ -146,6 +146,6 @@ def sentencepiece_table(model) -> ChunkTable:
             return []
         if MARKER in text:  # a written marker may join with spaces: the whole text is one chunk
             return [text]
-        return [c[1:] for c in re.findall(r" +[^ ]+(?: +$)?| +$", " " + text)]
+        return [c[1:] for c in re.findall(r" +[^ ]+(?: +\Z)?| +\Z", " " + text)]
 
     return ChunkTable(lambda chunks: model.encode(chunks, num_threads=1), False, cut, lambda w: not w or MARKER in w)
