@@ -1,30 +1,40 @@
 """LM scoring: a Brown class bigram model, its classes found by exchange clustering.
 
 P(w_i | w_{i-1}) = P(class of w_i | class of w_{i-1}) P(w_i | class of w_i). Counts cover all
-training documents. The exchange algorithm runs on the driver over the most frequent words
-(a fixed number, so its counts are bounded); every other word is then given the class in
-which its own neighbours, counted over the whole corpus, are likeliest.
+training documents and every word takes part in the exchange. It starts on the driver with
+the most frequent words (a fixed number, so its table is bounded), whose classes seed the
+rest. Then rounds over the corpus sum, for each word, the classes before and after it, and
+move the word to the class that raises the class bigram likelihood most. In a round only a
+share of the words moves, so that words which stand side by side don't move past each other.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import byte_slices, default_parts, in_fold, stored
 
-#: Words that are clustered by exchange, their classes, and rounds over all words.
-TOP_WORDS, CLASSES, ROUNDS = 1500, 48, 6
-BATCH_BYTES = 6 << 20
+#: Words that seed the classes, classes, and sweeps of the first exchange over all its words.
+SEED_WORDS, CLASSES, SWEEPS = 1500, 48, 6
+#: Shares of the words, moved one a round after the round that places all words.
+SHARES = 2
+#: Class tables have a slot for each hash of so many bits; words that share a slot share a class.
+LEAST_BITS, MOST_BITS = 16, 24
+#: Bytes of text in a block, whose words are listed once.
+BLOCK_BYTES = 8 << 20
+#: Slots in a row of a class table.
+CHUNK = 4096
 #: Additive smoothing of class transitions, and of words in a class.
 TRANSITION, EMISSION = 0.1, 0.5
-#: The end of a text: its word, its class (the last) and the first state of each text.
+#: The end of a text: its word, its class (after the others) and the first state of each text.
 END = b""
+#: Class of a slot that no training word has, or none whose neighbours have classes.
+NO_CLASS = 255
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -32,7 +42,7 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def exchange(counts: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(counts: np.ndarray, classes: int, rounds: int = SWEEPS) -> np.ndarray:
     """Classes of words by the exchange algorithm on their bigram ``counts``.
 
     Words start in classes by frequency rank. In each round every word, in the order of
@@ -90,287 +100,282 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarr
     return of
 
 
-@dataclass
-class BrownModel:
-    """Top words with their classes, and log P(class of a neighbour before | class) + log P(class) for placing others."""
-
-    words: list[bytes]
-    of: np.ndarray
-    classes: int
-    evidence: np.ndarray
-    prior: np.ndarray
-
-
-def _training(docs: DataFrame) -> DataFrame:
-    return docs.where(~F.col("held_out"))
-
-
-def top_words(docs: DataFrame, most: int = TOP_WORDS) -> list[bytes]:
-    """The most frequent words of ``docs(text)``, exactly; counts combine before the shuffle."""
+def _hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
 
-    def count(batches):
-        held: dict[bytes, int] = {}
-        for batch in byte_slices(batches, "text", BATCH_BYTES):
-            words = pa.array([w for t in batch.column("text").cast(pa.binary()).to_pylist() for w in tokens(t)], pa.binary())
-            for item in words.value_counts().to_pylist():
-                held[item["values"]] = held.get(item["values"], 0) + item["counts"]
-            if len(held) > 400_000:
-                yield from _word_counts(held)
-                held = {}
-        yield from _word_counts(held)
-
-    counts = docs.select("text").mapInArrow(count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    return [bytes(r.w) for r in counts.orderBy(F.desc("c"), "w").limit(most).collect()]
 
+def coded_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, doc_id, held_out, sizes, words, counts, hashes, codes): blocks of neighbouring ``docs(doc_id, held_out, text)``.
 
-def _word_counts(held):
-    words, counts = list(held), list(held.values())
-    for at in range(0, len(words), 100_000):
-        yield pa.record_batch([pa.array(words[at : at + 100_000], pa.binary()), pa.array(counts[at : at + 100_000], pa.int64())], names=["w", "c"])
+    A block holds whole texts of about ``block_bytes`` together, a longer text alone. It lists
+    its distinct words with their counts in its training documents; ``codes`` are the places
+    of all tokens in that list, an end token after each text.
+    """
 
+    def block(name, rows):
+        lists = [[*tokens(t), END] for _, _, t in rows]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
+        code, words = flat.indices.to_numpy(), flat.dictionary
+        held = np.array([h for _, h, _ in rows], bool)
+        count = np.bincount(code[~np.repeat(held, sizes)], minlength=len(words))
+        hashes = np.fromiter(map(_hash, words.to_pylist()), np.uint32, len(words))
+        one = {
+            "block": pa.array([name], pa.int64()), "doc_id": pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())), "held_out": pa.array([held.tolist()], pa.list_(pa.bool_())),
+            "sizes": pa.array([sizes], pa.list_(pa.int64())), "words": pa.ListArray.from_arrays([0, len(words)], words), "counts": pa.array([count], pa.list_(pa.int64())),
+            "hashes": pa.array([hashes.tobytes()], pa.binary()), "codes": pa.array([code.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()], pa.binary()),
+        }
+        return pa.record_batch(list(one.values()), names=list(one))
 
-def fit_classes(docs: DataFrame, most: int = TOP_WORDS, classes: int = CLASSES) -> BrownModel:
-    """Exchange clustering of the top words by their bigrams in ``docs(text)``."""
-    words = top_words(docs, most)
-    size = len(words)
-    place = {w: i for i, w in enumerate(words)}
+    def run(batches):
+        first, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        for batch in byte_slices(batches, "text", block_bytes):
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True))
+            own = batch.column("text").nbytes
+            if held and size + own > block_bytes:
+                yield block(first + made, held)
+                made, held, size = made + 1, [], 0
+            held, size = held + rows, size + own
+        if held:
+            yield block(first + made, held)
+
+    spec = "block long, doc_id array<long>, held_out array<boolean>, sizes array<long>, words array<binary>, counts array<long>, hashes binary, codes binary"
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, spec)
+
+
+def _tokens_of(batches):
+    """For each block its (hashes by word, codes, sizes, held out by text)."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            hashes = np.frombuffer(batch.column("hashes")[row].as_buffer(), np.uint32)
+            raw = batch.column("codes")[row].as_buffer()
+            codes = np.frombuffer(raw, np.uint16 if len(hashes) <= 1 << 16 else np.uint32)
+            yield hashes, codes, batch.column("sizes")[row].values.to_numpy(), batch.column("held_out")[row].values.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _training_only(codes, sizes, held):
+    """Codes and text ends of the training texts of a block."""
+    keep = ~np.repeat(held, sizes)
+    return codes[keep], np.cumsum(sizes[~held]) - 1
+
+
+def _before(states: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
+    """The state before each token; ``start`` before the first of a text."""
+    before = np.empty_like(states)
+    before[1:] = states[:-1]
+    before[:1] = start
+    before[ends[:-1] + 1] = start
+    return before
+
+
+def _states(table: np.ndarray, hashes: np.ndarray, classes: int) -> np.ndarray:
+    """State by word: its slot's class, or the last state where there is none."""
+    state = table[hashes & np.uint32(len(table) - 1)].astype(np.int64)
+    state[state == NO_CLASS] = classes + 1
+    state[hashes == _hash(END)] = classes
+    return state
+
+
+def seed_classes(blocks: DataFrame, seeds: list[bytes], bits: int, classes: int) -> np.ndarray:
+    """The class table after the exchange over the seed words' slots alone, by their bigrams in the training documents."""
+    table = np.full(1 << bits, NO_CLASS, np.uint8)
+    slots = np.unique(np.array([_hash(w) & (1 << bits) - 1 for w in seeds if w != END], np.int64))
+    size = len(slots)
+    if not size:
+        return table
 
     def pairs(batches):
-        total: dict[int, int] = {}
-        for batch in byte_slices(batches, "text", BATCH_BYTES):
-            code = [np.array([place.get(w, -1) for w in tokens(t)] + [-1], np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            flat = np.concatenate(code)
-            both = (flat[:-1] >= 0) & (flat[1:] >= 0)
-            keys, n = np.unique(flat[:-1][both] * size + flat[1:][both], return_counts=True)
-            for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-                total[k] = total.get(k, 0) + c
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["k", "c"])
-
-    found = docs.select("text").mapInArrow(pairs, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()  # at most most * most rows
+        total = np.zeros(size * size, np.int64)
+        for hashes, codes, sizes, held in _tokens_of(batches):
+            codes, ends = _training_only(codes, sizes, held)
+            slot = (hashes & np.uint32((1 << bits) - 1)).astype(np.int64)
+            at = np.minimum(np.searchsorted(slots, slot), size - 1)
+            place = np.where((slots[at] == slot) & (hashes != _hash(END)), at, -1)[codes]
+            before = _before(place, ends, -1)
+            both = (before >= 0) & (place >= 0)
+            total += np.bincount(before[both] * size + place[both], minlength=size * size)
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["k", "c"])
+
+    found = blocks.select("hashes", "codes", "sizes", "held_out").mapInArrow(pairs, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()  # at most size * size rows
     counts = np.zeros((size, size))
-    if size:
-        counts[found["k"] // size, found["k"] % size] = found["c"]
-    of = exchange(counts, classes) if size else np.empty(0, np.int64)
-    member = np.zeros((size, classes))
-    member[np.arange(size), of] = 1
-    table = member.T @ counts @ member + TRANSITION
-    evidence = np.log(table / table.sum(0))  # P(class before | class)
-    return BrownModel(words, of, classes, evidence, np.log(table.sum(0) / table.sum()))
+    counts[found["k"] // size, found["k"] % size] = found["c"]
+    table[slots] = exchange(counts, classes)
+    return table
 
 
-def _coded(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, code of each token, tokens by text), an end token after each text."""
-    lists = [[*tokens(t), END] for t in texts]
-    flat = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
-    return flat.dictionary, flat.indices.to_numpy().astype(np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+def transitions(blocks: DataFrame, table: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of (state before, state) over the training documents."""
+    states = classes + 2
 
+    def count(batches):
+        total = np.zeros(states * states, np.int64)
+        for hashes, codes, sizes, held in _tokens_of(batches):
+            codes, ends = _training_only(codes, sizes, held)
+            state = _states(table, hashes, classes)[codes]
+            total += np.bincount(_before(state, ends, classes) * states + state, minlength=states * states)
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["k", "c"])
 
-def _block_words(model: BrownModel):
-    """For each block its words: (w, block, c in its training documents, class of a top word or 255, seen).
+    out = np.zeros(states * states)
+    for r in blocks.select("hashes", "codes", "sizes", "held_out").mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
+        out[r.k] = r.c
+    return out.reshape(states, states)
 
-    ``seen`` lists the classes before a word that is not a top word, each as 256 * count + class.
-    """
-    top = pa.array(model.words, pa.binary())
-
-    def words_of(block, texts, out):
-        words, code, sizes = _coded(texts)
-        trained = ~np.repeat(np.array(out), sizes)
-        count = np.bincount(code[trained], minlength=len(words))
-        at = pc.fill_null(pc.index_in(words, top), -1).to_numpy().astype(np.int64)
-        cls = np.where(at >= 0, model.of[at] if len(model.of) else 0, 255)
-        of = cls[code]
-        ends = np.zeros(len(code), bool)
-        ends[np.cumsum(sizes) - 1] = True
-        pair = np.flatnonzero((of[:-1] < 255) & (of[1:] == 255) & ~ends[1:] & trained[1:])
-        keys, n = np.unique(code[pair + 1] * 256 + of[pair], return_counts=True)
-        at = np.searchsorted(keys, np.arange(len(words) + 1) * 256)
-        seen = n * 256 + keys % 256
-        for low in range(0, len(words), 50_000):
-            high = min(len(words), low + 50_000)
-            lists = pa.ListArray.from_arrays(pa.array(at[low : high + 1] - at[low], pa.int32()), pa.array(seen[at[low] : at[high]], pa.int64()))
-            yield pa.record_batch(
-                [words[low:high], pa.array(np.full(high - low, block)), pa.array(count[low:high]), pa.array(cls[low:high].astype(np.int16)), lists], names=["w", "block", "c", "cls", "seen"]
-            )
 
-    def run(batches):
-        here, texts, out = None, [], []
-        for batch in batches:
-            for own, text, held in zip(batch.column("block").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-                if own != here:
-                    if texts:
-                        yield from words_of(here, texts, out)
-                    here, texts, out = own, [], []
-                texts.append(text or b"")
-                out.append(held)
-        if texts:
-            yield from words_of(here, texts, out)
-
-    return run
-
-
-def _settle(model: BrownModel):
-    """From rows of ``_block_words`` in the order of words: (w, block, c in the corpus, class by the corpus, whether its first block)."""
-
-    def settled(rows: pa.Table):
-        rows = rows.combine_chunks()
-        w, block, c = rows["w"].combine_chunks(), rows["block"].to_numpy(), rows["c"].to_numpy()
-        starts = np.concatenate([[0], np.flatnonzero(pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)) + 1])
-        group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(block)]))
-        lists = rows["seen"].combine_chunks()
-        values = lists.flatten().to_numpy()
-        at = np.repeat(group, pc.list_value_length(lists).to_numpy()) * model.classes + values % 256
-        seen = np.bincount(at, values // 256, len(starts) * model.classes).reshape(-1, model.classes)
-        given = rows["cls"].to_numpy()[starts]
-        placed = np.where(seen.any(1), (seen @ model.evidence + model.prior).argmax(1), model.classes + 1)
-        cls = np.where(given < 255, given, placed)
-        cls[pc.equal(w.take(pa.array(starts)), pa.scalar(END, pa.binary())).to_numpy(zero_copy_only=False)] = model.classes
-        total = np.add.reduceat(c, starts)[group]
-        home = block == np.minimum.reduceat(np.where(c > 0, block, np.iinfo(np.int64).max), starts)[group]
-        out = pa.record_batch([w, pa.array(block), pa.array(total), pa.array(cls[group].astype(np.int16)), pa.array(home)], names=["w", "block", "c", "cls", "home"])
-        return out.filter(pa.array(total > 0))
+def exchange_round(blocks: DataFrame, table: np.ndarray, share: int | None, classes: int, parts: int) -> np.ndarray:
+    """``table`` after a round in which the slots of a ``share`` (of ``SHARES``; None: those without a class) move.
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
+    A task lists, for each slot of a block, how often each class stands before and after it.
+    Lists are summed over the corpus by slot. A slot goes to the class d that raises
+    sum n(c, d) log n(c, d) - sum n(c) log n(c) - sum n(d) log n(d) the most, to first order in
+    the slot's counts: it has a small part of its class's. The sums are whole numbers, so
+    the classes depend on the table's rows and not on their layout.
+    """
+    seen = transitions(blocks, table, classes)[: classes + 1, : classes + 1] + TRANSITION
+    after = np.log(seen / seen.sum(1, keepdims=True))[:classes]  # P(class after | d)
+    before = np.log(seen / seen.sum(0, keepdims=True))[:, :classes]  # P(class before | d)
+    gains = np.concatenate([before, after.T])
+    cells, width, mask = classes + 1, 2 * (classes + 1), len(table) - 1
+
+    def emit(batches):
+        for hashes, codes, sizes, held in _tokens_of(batches):
+            codes, ends = _training_only(codes, sizes, held)
+            codes = codes.astype(np.int64)
+            of = _states(table, hashes, classes)
+            slot = (hashes & np.uint32(mask)).astype(np.int64)
+            moves = (table[slot] == NO_CLASS) if share is None else (slot >> 4) % SHARES == share
+            moves &= hashes != _hash(END)
+            local = np.cumsum(moves) - 1
+            names = slot[moves]
+            state = of[codes]
+            own = np.flatnonzero(moves[codes])
+            if not len(own):
                 continue
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            # the last word may go on in the next batch
-            last = pc.index(rows["w"], rows["w"][-1]).as_py()
-            held = rows.slice(last)
-            if last:
-                yield settled(rows.slice(0, last))
-        if held is not None:
-            yield settled(held)
-
-    return run
-
-
-def corpus_words(rows: DataFrame, model: BrownModel) -> DataFrame:
-    """(w, block, c, cls, home) of ``rows(block, text, held_out)``: a row for each word of a block.
-
-    ``c`` and ``cls`` are those of the word in the whole corpus: a word that is not a top word has
-    the class that the classes before it, summed over all blocks, make likeliest.
+            left, right = _before(state, ends, classes)[own], state[own + 1]  # a word is never the last token
+            keys = np.concatenate([local[codes[own]] * width + left, local[codes[own]] * width + cells + right])
+            keys = keys[np.concatenate([left, right]) <= classes]  # neighbours without a class tell nothing
+            total = np.bincount(keys, minlength=len(names) * width)
+            used = np.flatnonzero(total)
+            cuts = np.searchsorted(used, np.arange(len(names) + 1) * width)
+            packed = (used % width) | total[used] << 16
+            for low in range(0, len(names), 100_000):
+                high = min(len(names), low + 100_000)
+                lists = pa.ListArray.from_arrays(pa.array(cuts[low : high + 1] - cuts[low], pa.int32()), pa.array(packed[cuts[low] : cuts[high]]))
+                rows = pa.record_batch([pa.array(names[low:high] // CHUNK, pa.int32()), pa.array(names[low:high], pa.int32()), lists], names=["chunk", "slot", "seen"])
+                yield rows.filter(pa.array(np.diff(cuts[low : high + 1]) > 0))
+
+    def decide(batches):
+        here, sums = None, None
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else [0]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if chunk[low] != here:
+                    if here is not None:
+                        yield settled(here, sums)
+                    here, sums = chunk[low], np.zeros((CHUNK, width), np.int64)
+                lists = batch.column("seen").slice(low, high - low)
+                values = lists.flatten().to_numpy()
+                row = np.repeat(batch.column("slot").to_numpy()[low:high] % CHUNK, np.diff(lists.offsets.to_numpy()))
+                np.add.at(sums, (row, values & 0xFFFF), values >> 16)
+        if here is not None:
+            yield settled(here, sums)
+
+    def settled(chunk, sums):
+        best = np.round(sums @ gains, 6).argmax(1)
+        best[~sums.any(1)] = NO_CLASS
+        return pa.record_batch([pa.array([chunk], pa.int32()), pa.array([best.astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "classes"])
+
+    listed = blocks.select("hashes", "codes", "sizes", "held_out").mapInArrow(emit, "chunk int, slot int, seen array<long>")
+    found = listed.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(decide, "chunk int, classes binary")
+    out = table.copy()
+    for r in found.toLocalIterator():  # at most a byte for each of the table's slots
+        new = np.frombuffer(bytes(r.classes), np.uint8)
+        new = new[: len(table)]
+        part = out[r.chunk * CHUNK : r.chunk * CHUNK + len(new)]
+        part[new != NO_CLASS] = new[new != NO_CLASS]
+    return out
+
+
+def fit_classes(blocks: DataFrame, totals: DataFrame, seeds: int = SEED_WORDS, classes: int = CLASSES) -> np.ndarray:
+    """The class table of all training words; ``totals`` has (w, c).
+
+    The table has a slot for four words or more, up to 2^``MOST_BITS`` slots; it is a byte a
+    slot, which is what tasks and driver hold of it.
     """
-    parts = default_parts(rows.sparkSession)
-    listed = rows.select("block", "text", "held_out").mapInArrow(_block_words(model), "w binary, block long, c long, cls short, seen array<long>")
-    return listed.repartition(parts, "w").sortWithinPartitions("w").mapInArrow(_settle(model), "w binary, block long, c long, cls short, home boolean")
-
+    parts = default_parts(blocks.sparkSession)
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * totals.count()).bit_length()))
+    words = [bytes(r.w) for r in totals.orderBy(F.desc("c"), "w").limit(seeds).collect()]
+    table = seed_classes(blocks, words, bits, classes)
+    for share in (None, *range(SHARES)):
+        table = exchange_round(blocks, table, share, classes, parts)
+    return table
 
-def _code_documents(classes: int):
-    """From a block's words, then its documents: coded documents, and how many words are at home in each state."""
-    names = ["kind", "doc_id", "held_out", "n_tokens", "n_known", "sum_log", "states"]
 
-    def record(kind, doc_id, held, n, known, logs, states):
-        return pa.record_batch(
-            [pa.array(np.full(len(n), kind, np.int16)), pa.array(doc_id, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(states, pa.binary())],
-            names=names,
-        )
+def _by_state(totals: DataFrame, table: np.ndarray, classes: int) -> tuple[np.ndarray, int]:
+    """(distinct words by state, all tokens) of the training documents."""
 
-    def run(batches):
-        here, parts, vocabulary = None, [], None
+    def count(batches):
+        words, total = np.zeros(classes + 2, np.int64), 0
         for batch in batches:
-            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
-            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                if low == high:
-                    continue
-                part = batch.slice(low, high - low)
-                if block[low] != here:
-                    here, parts, vocabulary = block[low], [], None
-                if kind[low] == 0:
-                    parts.append(part.select(["w", "c", "cls", "home"]))
-                    home = part.column("home").to_numpy(zero_copy_only=False).astype(bool)
-                    v = np.bincount(part.column("cls").to_numpy()[home], minlength=classes + 2)
-                    k = np.flatnonzero(v)
-                    yield record(0, [None] * len(k), [None] * len(k), v[k], k, np.zeros(len(k)), [None] * len(k))
-                    continue
-                if vocabulary is None:
-                    known = pa.Table.from_batches(parts) if parts else None
-                    vocabulary = (known["w"].combine_chunks(), known["c"].to_numpy(), known["cls"].to_numpy()) if known else (pa.array([], pa.binary()), np.empty(0, np.int64), np.empty(0, np.int16))
-                words, counts, states = vocabulary
-                for piece in byte_slices([part], "text", BATCH_BYTES):
-                    distinct, code, sizes = _coded([t or b"" for t in piece.column("text").cast(pa.binary()).to_pylist()])
-                    at = pc.fill_null(pc.index_in(distinct, words), -1).to_numpy().astype(np.int64)
-                    c = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(at))
-                    state = np.where(at >= 0, states[at], classes + 1) if len(counts) else np.full(len(at), classes + 1)
-                    state[np.array([w == END for w in distinct.to_pylist()], bool)] = classes
-                    first = np.cumsum(sizes) - sizes
-                    raw = state[code].astype(np.uint8).tobytes()
-                    logs, seen = np.log10(c + EMISSION)[code], (c > 0)[code]
-                    yield record(
-                        1, piece.column("doc_id"), piece.column("held_out"), sizes, np.add.reduceat(seen.astype(np.int64), first), np.add.reduceat(logs, first),
-                        [raw[a : a + n] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)],
-                    )
-
-    return run
-
-
-def score_documents(docs: DataFrame, most: int = TOP_WORDS, classes: int = CLASSES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs(doc_id, text, held_out)``.
+            hashes = np.fromiter(map(_hash, batch.column("w").to_pylist()), np.uint32, batch.num_rows)
+            words += np.bincount(_states(table, hashes, classes), minlength=classes + 2)
+            total += int(batch.column("c").to_numpy().sum())
+        yield pa.record_batch([pa.array(np.arange(classes + 3)), pa.array([*words.tolist(), total], pa.int64())], names=["s", "v"])
 
-    A block is 8,192 neighbouring rows of the scan. It lists its distinct words with their
-    counts in its training documents and the classes counted before them there. Words
-    meet by a shuffle, where both are summed over the corpus, so that a word's class does
-    not depend on the blocks; then they go back to their blocks only. So a row for each
-    word of a block moves, not one for each token, no word has more rows than there are
-    blocks, and no task holds more than a block's vocabulary. The coded corpus, a byte a
-    token, is written once: transitions are counted on it and then applied.
-
-    Known words without evidence and unknown words share the last state. Probabilities
-    are smoothed, so each text has a finite score. A null text is empty: one end token.
-    A null id is returned as null; repeated rows are documents of their own. ``docs`` must
-    give the same rows in the same partitions when read twice, as a table scan does.
-    """
-    parts = default_parts(docs.sparkSession)
-    rows = docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
-    model = fit_classes(_training(rows), most, classes)
-    dealt = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), 13))
-    words = corpus_words(dealt, model)
-    spec = {"kind": "short", "doc_id": "long", "held_out": "boolean", "text": "string", "w": "binary", "c": "long", "cls": "short", "home": "boolean"}
-
-    def shaped(frame, kind):
-        return frame.select("block", F.lit(kind).cast("short").alias("kind"), *[(F.col(n) if n in frame.columns else F.lit(None).cast(t)).alias(n) for n, t in spec.items() if n != "kind"])
+    out = np.zeros(classes + 3, np.int64)
+    for r in totals.mapInArrow(count, "s long, v long").groupBy("s").agg(F.sum("v").alias("v")).collect():
+        out[r.s] = r.v
+    return out[:-1].astype(float), int(out[-1])
 
-    both = shaped(words, 0).union(shaped(dealt, 1)).repartition(parts, "block").sortWithinPartitions("block", "kind")
-    coded = stored(both.mapInArrow(_code_documents(classes), "kind short, doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, states binary"), "brown-coded")
 
-    states = classes + 2
-    home = np.zeros(states)
-    for r in coded.where("kind = 0").groupBy(F.col("n_known").alias("s")).agg(F.sum("n_tokens").alias("v")).collect():
-        home[r.s] = r.v
-    pairs = np.zeros(states * states)
+def score_documents(docs: DataFrame, seeds: int = SEED_WORDS, classes: int = CLASSES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs(doc_id, text, held_out)``.
 
-    def count(batches):
-        total = np.zeros(states * states, np.int64)
-        for batch in batches:
-            for s in batch.column("states").to_pylist():
-                total += np.bincount(_steps(s, classes, states), minlength=states * states)
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["k", "c"])
+    The corpus is written once as blocks of coded texts with their lists of words. A row
+    for each word of a block, not one for each token, meets the word's count in the corpus
+    and goes back to its block, so no task holds more than a block and its words. Rounds
+    of the exchange read the codes alone.
 
-    for r in coded.where("kind = 1 and not held_out").select("states").mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
-        pairs[r.k] = r.c
-    pairs = pairs.reshape(states, states)
+    Unknown words, and known ones that never had a neighbour with a class, share the last state.
+    Probabilities are smoothed, so each text has a finite score. A null text is empty: one
+    end token. A null id is returned as null; repeated rows are documents of their own;
+    other columns are ignored; an empty table gives no rows. A very long text is a block.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = stored(coded_blocks(rows, block_bytes), "brown-blocks")
+    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "i", F.col("x.words").alias("w"), F.col("x.counts").alias("c"))
+    totals = stored(listed.where("c > 0").groupBy("w").agg(F.sum("c").alias("c")), "brown-words")
+    table = fit_classes(blocks, totals, seeds, classes)
+    pairs = transitions(blocks, table, classes)
+    home, n = _by_state(totals, table, classes)
+    states, v = classes + 2, float(home.sum())
     in_state = pairs.sum(0)  # every token is the second of one pair
-    n, v = float(in_state.sum()), float(home.sum())
     follow = np.log10((pairs + TRANSITION) / (pairs.sum(1, keepdims=True) + TRANSITION * states))
     gain = (follow - np.log10(in_state + EMISSION * (home + 1))).ravel()
 
-    def apply(batches):
-        for batch in batches:
-            total = [float(gain[_steps(s, classes, states)].sum()) for s in batch.column("states").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "sum_log")] + [pa.array(total, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "sum_log", "steps"])
-
-    scored = coded.where("kind = 1").select("doc_id", "held_out", "n_tokens", "n_known", "sum_log", "states").mapInArrow(apply, "doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, steps double")
+    def score(block: pa.Table, counts: pa.Table) -> pa.Table:
+        out = []
+        for hashes, codes, sizes, _ in _tokens_of(block.to_batches()):
+            c = np.zeros(len(hashes), np.int64)
+            c[counts["i"].to_numpy()] = counts["c"].to_numpy()
+            state = np.where(c > 0, _states(table, hashes, classes), classes + 1)
+            state[hashes == _hash(END)] = classes
+            first, s = np.cumsum(sizes) - sizes, state[codes]
+            logs = np.log10(c + EMISSION)[codes]
+            steps = gain[_before(s, first + sizes - 1, classes) * states + s]
+            out += [np.add.reduceat((c > 0)[codes].astype(np.int64), first), np.add.reduceat(logs, first), np.add.reduceat(steps, first)]
+        if not out:
+            return pa.table({name: pa.array([], kind) for name, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64()), ("steps", pa.float64()))})
+        flat = [block[name].combine_chunks().flatten() for name in ("doc_id", "held_out", "sizes")]
+        return pa.table([*flat, *map(pa.array, out)], names=["doc_id", "held_out", "n_tokens", "n_known", "sum_log", "steps"])
+
+    known = listed.join(totals.withColumnRenamed("c", "total"), "w").select(F.col("block").alias("home"), F.col("i").cast("long").alias("i"), F.col("total").alias("c"))
+    coded = blocks.select("block", "doc_id", "held_out", "sizes", "hashes", "codes")
+    scored = coded.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, steps double")
     base = F.col("sum_log") - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("sum_log") + F.col("steps")).alias("score"))
-
-
-def _steps(raw: bytes, classes: int, states: int) -> np.ndarray:
-    """Codes of a text's transitions; the state before the first token is the end's."""
-    s = np.frombuffer(raw, np.uint8).astype(np.int64)
-    return np.concatenate([[classes], s[:-1]]) * states + s
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("sum_log") + F.col("steps")).alias("score"))
 
 
 def perplexity(scores: DataFrame, score_col: str = "score") -> DataFrame:

@@ -57,15 +57,76 @@ def test_score_cases(spark):
     assert brown.perplexity(brown.score_documents(docs)).count() == 2
 
 
-def test_scores_do_not_depend_on_blocks(spark):
-    # 'z' follows 'p' in the block where it is most frequent, but 'r' in the corpus
-    texts = ["p r q s p s q r"] * 9 + ["p z"] * 5 + ["r z"] * 12
-    rows = [(i, t, False) for i, t in enumerate(texts)]
-    cuts = [rows[:14], rows[14:17], rows[17:20], rows[20:23], rows[23:]]
-    spread = spark.createDataFrame(spark.sparkContext.parallelize(cuts, 5).flatMap(list), "doc_id long, text string, held_out boolean")
-    whole = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), spread.schema)
-    found = [{r.doc_id: r.score for r in brown.score_documents(d, most=4, classes=2).collect()} for d in (whole, spread)]
-    assert len(found[0]) == len(rows) and all(math.isclose(found[0][i], found[1][i], rel_tol=1e-9) for i in found[0])
+def brown_brute(rows, seeds, classes):
+    """log10 probabilities of (id, text, held_out) rows by counting bigrams one by one."""
+    texts = [[*(t or "").encode().lower().split(), b""] for _, t, _ in rows]
+    train = [t for t, (_, _, h) in zip(texts, rows, strict=True) if not h]
+    count = Counter(w for t in train for w in t)
+    bits = min(brown.MOST_BITS, max(brown.LEAST_BITS, (4 * len(count)).bit_length()))
+    slot = {w: brown._hash(w) % (1 << bits) for w in count if w}
+    bigrams = Counter(p for t in train for p in zip([b"", *t], t, strict=False))
+    head = sorted({slot[w] for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:seeds] if w})
+    table = np.zeros((len(head), len(head)))
+    for (a, b), n in bigrams.items():
+        if a and b and slot[a] in head and slot[b] in head:
+            table[head.index(slot[a]), head.index(slot[b])] += n
+    of = dict(zip(head, brown.exchange(table, classes).tolist(), strict=True))
+
+    def state(w):
+        return classes if not w else of.get(slot[w], classes + 1) if w in slot else classes + 1
+
+    def seen():
+        out = np.zeros((classes + 2, classes + 2))
+        for (a, b), n in bigrams.items():
+            out[state(a), state(b)] += n
+        return out
+
+    for share in (None, *range(brown.SHARES)):
+        t = seen()[: classes + 1, : classes + 1] + brown.TRANSITION
+        moved = {}
+        for s in sorted(set(slot.values())):
+            if (s in of) if share is None else ((s >> 4) % brown.SHARES != share):
+                continue
+            gain, any_ = np.zeros(classes), False
+            for (a, b), n in bigrams.items():
+                if b and slot[b] == s and state(a) <= classes:
+                    gain, any_ = gain + n * np.log(t[state(a), :classes] / t.sum(0)[:classes]), True
+                if a and slot[a] == s and state(b) <= classes:
+                    gain, any_ = gain + n * np.log(t[:classes, state(b)] / t.sum(1)[:classes]), True
+            if any_:
+                moved[s] = int(np.round(gain, 6).argmax())
+        of |= moved
+    pairs = seen()
+    home = np.bincount([state(w) for w in count], minlength=classes + 2)
+    follow = np.log10((pairs + brown.TRANSITION) / (pairs.sum(1, keepdims=True) + brown.TRANSITION * (classes + 2)))
+    scores = []
+    for t in texts:
+        last, total = classes, 0.0
+        for w in t:
+            s = state(w)
+            total += follow[last, s] + math.log10((count[w] + brown.EMISSION) / (pairs.sum(0)[s] + brown.EMISSION * (home[s] + 1)))
+            last = s
+        scores.append(total)
+    return scores
+
+
+def test_scores_against_brute_force(spark, small):
+    """The same scores for two layouts of the rows and for counting one by one."""
+    words = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rows = [(i, (t or "")[:600], i % 5 == 1) for i, t in enumerate(words)] + [(70, "", False), (71, None, True), (72, "p r q s p s q r", False), (73, "new words only", True)]
+    want = brown_brute(rows, 20, 4)
+    whole = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string, held_out boolean")
+    spread = spark.createDataFrame(spark.sparkContext.parallelize(rows[::-1], 5), whole.schema)
+    for docs, size in ((whole, 8 << 20), (spread, 2000)):
+        found = {r.doc_id: r.score for r in brown.score_documents(docs, seeds=20, classes=4, block_bytes=size).collect()}
+        assert len(found) == len(rows) and all(math.isclose(found[i], w, rel_tol=1e-9) for (i, _, _), w in zip(rows, want, strict=True))
+
+
+def test_very_long_text_is_scored_whole(spark):
+    rows = [(1, "a b c d " * 20_000, False), (2, "a b", True), (3, "x" * 100_000, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    found = {r.doc_id: r for r in brown.score_documents(docs, block_bytes=1000).collect()}
+    assert (found[1].n_tokens, found[2].n_known, found[3].n_tokens) == (80_001, 3, 2) and all(math.isfinite(r.score) for r in found.values())
 
 
 def test_toxicity(spark, small):
