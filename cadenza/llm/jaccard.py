@@ -3,8 +3,9 @@
 Jaccard distance is a metric, so a pivot's distances bound those between other documents.
 Pivots alone do not help where nearly all documents are at distance 1 from each other, as
 in a corpus. Regions therefore start as the connected parts of a graph that holds every
-possible link (by an exact prefix filter, rarest shingles first), and each region is cut
-by pivots, recursively, into Voronoi cells with windows for boundary documents.
+possible link (by an exact prefix filter, rarest shingles first). A region beyond a task's
+size is cut by pivots into Voronoi cells with windows for boundary documents, in rounds of
+distributed jobs; smaller ones are cut in the same way in memory.
 """
 
 from __future__ import annotations
@@ -16,19 +17,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import byte_slices, components, default_parts, discard, stored
-from cadenza.llm.shingles import shingle_sets
+from cadenza.llm.shingles import mixed, shingle_sets
 
 #: Links have 100 * intersection >= SHARE * union.
 SHARE = 75
 BATCH_BYTES = 6 << 20
 #: Share of a set, in hundredths, that the first filter reads beyond the shortest prefix.
 EXTRA = 10
-#: Shingles of a region that one task gets; larger regions are joined block by block.
-BLOCK_SHINGLES = 6_000_000
+#: Shingles of a region that one task joins in memory; larger regions are cut by pivots over many tasks.
+REGION_SHINGLES = 1 << 15
 #: Region size up to which documents are compared directly, and pivots of a larger one.
 LEAF, PIVOTS = 64, 12
-#: Bits of the fixed-size filter of surviving sets.
-FILTER_BITS = 23
+#: Pivots of a region in a distributed round, and the share of it beyond which a cell is not cut again.
+ROUND_PIVOTS, DENSE = 8, 0.7
+#: Bits of the filter of surviving sets: 8 a set, within these bounds (8 KB to 16 MB).
+LEAST_FILTER, MOST_FILTER = 16, 27
 _KEY = (1 << 40) - 1
 
 
@@ -66,17 +69,34 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k long")
 
 
+def _shared(s: np.ndarray, v: np.ndarray, apart: int) -> np.ndarray:
+    """Of entries sorted by (shingle, word): whether a neighbour has the same shingle and a fitting size."""
+    near = (s[1:] == s[:-1]) & ((v[1:] >> 40) - (v[:-1] >> 40) <= apart)
+    shared = np.zeros(len(s), bool)
+    shared[1:] |= near
+    shared[:-1] |= near
+    return shared
+
+
 def _survivor_keys(docs: DataFrame, parts: int) -> DataFrame:
-    """(key40) of sets that may have a partner.
+    """(key40, c) of sets that may have a partner: at least so many shared prefix shingles.
 
     Order each set by hash. If two sets link, the first n - ceil(0.75 n) + t(n) of each,
     with t(n) = ``_extra(n)``, share at least t of the smaller set. So a set whose prefix
     has fewer than t(ceil(0.75 n)) shingles in common with any set of a fitting size has
     no partner. Only 64-bit hashes and 50-bit (size class, key) words are shuffled; equal
     sets of a task are sent once. A shortened key that two sets share keeps both.
+
+    What a task can settle it settles before the shuffle: entries whose shingle another
+    fitting set of the same batch has are counted there, and one entry for each size class
+    goes on in their name (key 0), so a shingle of very many sets is no hot key. Counting
+    an entry twice, here and after the shuffle, only keeps more sets; the join is exact.
     """
     apart = _classes_apart()
 
+    def rows(s, v, c):
+        return pa.record_batch([pa.array(s.view(np.int64)), pa.array(v), pa.array(c.astype(np.int32))], names=["s", "v", "c"])
+
     def emit(batches):
         seen: set[int] = set()
         for batch in byte_slices(batches, "text", BATCH_BYTES):
@@ -86,14 +106,26 @@ def _survivor_keys(docs: DataFrame, parts: int) -> DataFrame:
                 if n and k not in seen:
                     seen.add(k)
                     out.append(s[: n - _least_shared(n) + _extra(n)])
-                    names.append(np.full(len(out[-1]), int(_size_class(np.array([n]))[0]) << 40 | k & _KEY))
-            yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(names))], names=["s", "v"])
+                    names.append(np.full(len(out[-1]), int(_size_class(np.array([n]))[0]) << 40 | max(k & _KEY, 1)))
+            s, v = np.concatenate(out), np.concatenate(names)
+            order = np.lexsort((v, s))
+            s, v = s[order], v[order]
+            shared = _shared(s, v, apart)
+            keys, n = np.unique(v[shared], return_counts=True)
+            yield rows(mixed(keys.view(np.uint64)), keys, n)
+            v = np.where(shared, v & ~_KEY, v)
+            fresh = np.ones(len(s), bool)
+            fresh[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
+            yield rows(s[fresh], v[fresh], np.zeros(int(fresh.sum())))
 
     def count(batches):
         last, told = None, False
-        held: dict[int, int] = {}
         for batch in batches:
-            s, v = batch.column("s").to_numpy(), batch.column("v").to_numpy()
+            s, v, c = (batch.column(x).to_numpy() for x in ("s", "v", "c"))
+            known = c > 0
+            if known.any():
+                yield pa.record_batch([pa.array(v[known]), pa.array(c[known])], names=["v", "c"])
+            s, v = s[~known], v[~known]
             if not len(s):
                 continue
             if last is not None:
@@ -101,53 +133,45 @@ def _survivor_keys(docs: DataFrame, parts: int) -> DataFrame:
             fresh = np.ones(len(s), bool)
             fresh[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
             s, v = s[fresh], v[fresh]
-            near = (s[1:] == s[:-1]) & ((v[1:] >> 40) - (v[:-1] >> 40) <= apart)
-            shared = np.zeros(len(s), bool)
-            shared[1:] |= near
-            shared[:-1] |= near
+            shared = _shared(s, v, apart)
             ending = shared[-1]
             if last is not None:
                 ending = ending or (len(s) == 1 and told)
                 shared[0] &= not told
             last, told = (s[-1], v[-1]), bool(ending)
-            keys, n = np.unique(v[shared], return_counts=True)
-            for a, b in zip(keys.tolist(), n.tolist(), strict=True):
-                held[a] = held.get(a, 0) + b
-            if len(held) > 500_000:
-                yield _counts(held)
-                held = {}
-        yield _counts(held)
-
-    def _counts(held):
-        return pa.record_batch([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["v", "c"])
-
-    rows = docs.select("text").mapInArrow(emit, "s long, v long").repartition(parts, "s").sortWithinPartitions("s", "v")
-    counts = rows.mapInArrow(count, "v long, c long").groupBy("v").agg(F.sum("c").alias("c"))
+            keys, n = np.unique(v[shared & (v & _KEY > 0)], return_counts=True)
+            yield pa.record_batch([pa.array(keys), pa.array(n.astype(np.int32))], names=["v", "c"])
+
+    entries = docs.select("text").mapInArrow(emit, "s long, v long, c int").repartition(parts, "s").sortWithinPartitions("s", "v")
+    # a set's entries lie in different tasks, so there is nothing to combine before this shuffle
+    counts = entries.mapInArrow(count, "v long, c int").repartition(parts, "v").groupBy("v").agg(F.sum("c").alias("c"))
     return counts.select(F.col("v").bitwiseAND(F.lit(_KEY)).alias("key40"), "c")
 
 
 def surviving_sets(docs: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
     """(k, n, s binary): the sets, one of each, that ``_survivor_keys`` can't rule out.
 
-    A bitmap of a fixed 2^23 bits goes to all tasks to spare most sets the shuffle; it is
-    only a filter, and the join after it is exact.
+    A bitmap of the survivors' keys, 16 MB at most, goes to all tasks to spare the other sets
+    the shuffle; it is only a filter, and the join after it is exact.
     """
     n = F.col("n")
     smaller = F.floor((n * SHARE + 99) / 100)
     counts = _survivor_keys(docs, parts)
-    keyed = classes.select("k", "n", F.col("k").bitwiseAND(F.lit(_KEY)).alias("key40")).join(counts, "key40")
+    keyed = classes.select("k", "n", F.greatest(F.col("k").bitwiseAND(F.lit(_KEY)), F.lit(1)).alias("key40")).join(counts, "key40")
     keep = keyed.groupBy("k", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= F.floor(smaller * EXTRA / 100) + 1)
     keep = stored(keep.select("k", "n"), "jaccard-keep")
-    slots = keep.select((F.col("k") % (1 << FILTER_BITS)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
-    bitmap = np.zeros(1 << FILTER_BITS, bool)
-    bitmap[slots] = True
-    packed = np.packbits(bitmap)
+    size = 1 << min(MOST_FILTER, max(LEAST_FILTER, (8 * keep.count()).bit_length()))
+    slot = F.col("k") % size + 1
+    bits = keep.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m"))
+    packed = np.zeros(size // 8, np.uint8)
+    for r in bits.toLocalIterator():  # 4 KB of the bitmap each
+        packed[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
 
     def emit(batches):
-        kept, seen = np.unpackbits(packed).astype(bool), set()
+        seen: set[int] = set()
         for batch in byte_slices(batches, "text", BATCH_BYTES):
             sets = [(_key(s), s) for s in shingle_sets(batch.column("text")) if len(s)]
-            sets = {k: s for k, s in sets if kept[k % (1 << FILTER_BITS)] and k not in seen}
+            sets = {k: s for k, s in sets if packed[k % size >> 3] >> (k % size & 7) & 1 and k not in seen}
             seen.update(sets)
             yield pa.record_batch([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["k", "s"])
 
@@ -160,8 +184,9 @@ def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
 
     Shingles are ordered by how many sets hold them, rarest first, then by hash. Linked
     sets share a shingle within their first n - ceil(0.75 n) + 1. Sets less than 75 % of
-    whose shingles occur elsewhere have no link. Sets that share a prefix shingle are
-    chained in the order of size where sizes fit, which is a row a member, not all pairs.
+    whose shingles occur elsewhere have no link. Sets that share a prefix shingle and lie in
+    the same or neighbouring bands of size are joined with the least of them: an edge a
+    member, not all pairs, by sums that combine before the shuffle.
     """
 
     def explode(batches):
@@ -174,26 +199,30 @@ def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
                 yield pa.record_batch([pa.array(flat), pa.array(np.repeat(part.column("n").to_numpy(), lens)), pa.array(np.repeat(part.column("k").to_numpy(), lens))], names=["s", "n", "k"])
 
     rows = sets.select("k", "n", "s").mapInArrow(explode, "s long, n long, k long")
-    seen = rows.withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1")
+    often = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    seen = rows.join(often, "s")
     order = Window.partitionBy("k").orderBy("df", "s")
     n, m = F.col("n"), F.col("m")
     ranked = seen.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy("k")))
     least = F.floor((n * SHARE + 99) / 100)
     prefix = ranked.where((m >= least) & (F.col("rank") <= (n - least + 1) - (n - m)))
-    by_size = Window.partitionBy("s").orderBy("n", "k")
-    chained = prefix.select("s", "n", "k", F.lag("k").over(by_size).alias("b"), F.lag("n").over(by_size).alias("bn"))
-    return chained.where(F.col("bn") * 100 >= F.col("n") * SHARE).select(F.col("k").alias("a"), "b").distinct()
+    band = F.floor(F.log(n) / float(np.log(100 / (SHARE - 1))))  # a little wider than the threshold, for rounding
+    placed = prefix.select("s", "k", F.explode(F.array(band, band + 1)).alias("band"))
+    hubs = placed.groupBy("s", "band").agg(F.min("k").alias("b"))
+    return placed.join(hubs, ["s", "band"]).where("k <> b").select(F.col("k").alias("a"), "b").distinct()
 
 
 class Region:
     """Sets of one region, joined in memory; ``label`` maps each to the least index that it is linked with."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], inside: np.ndarray | None = None):
         self.sizes = np.array([len(s) for s in sets], np.int64)
         _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.label = np.arange(len(sets))
+        if inside is not None and inside.any():  # linked with one pivot, so with each other
+            self.label[inside] = np.flatnonzero(inside)[0]
         self.mark = np.zeros(int(self.flat.max(initial=-1)) + 1, bool)
 
     def shared(self, pivot: int, rows: np.ndarray) -> np.ndarray:
@@ -268,6 +297,126 @@ class Region:
                 self.link(rows[i], rest)
 
 
+def _sets(table: pa.Table, column: str = "s") -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in table[column].to_pylist()]
+
+
+def _split(pivots: pa.Table, members: pa.Table) -> pa.Table:
+    """Members of one share of a region, once for each cell in whose window they are: (cell, p, k, n, s, inside).
+
+    ``inside`` tells of a link with the cell's pivot p; the triangle inequality puts both ends of
+    every other link into the cell that is nearest to one of them.
+    """
+    order = np.argsort(members["k"].to_numpy())
+    members = members.take(pa.array(order))
+    names = pivots["p"].to_numpy()
+    by_name = np.argsort(names)
+    region = Region(_sets(pivots.take(pa.array(by_name)), "t") + _sets(members))
+    rows = np.arange(len(names), len(names) + len(members))
+    shared = np.array([region.shared(i, rows) for i in range(len(names))])
+    union = region.sizes[: len(names), None] + region.sizes[rows] - shared
+    distance = 1 - shared / union
+    cell, row = np.nonzero(distance <= distance.min(0) + 2 * (1 - SHARE / 100) + 1e-9)
+    inside = 100 * shared[cell, row] >= SHARE * union[cell, row]
+    out = members.select(["k", "n", "s"]).take(pa.array(row))
+    return pa.table([pivots["cell"].take(pa.array(by_name[cell])), pa.array(names[by_name[cell]]), *out.columns, pa.array(inside)], names=["cell", "p", "k", "n", "s", "inside"])
+
+
+def _cut(regions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(region, cell, p, k, n, s, inside): ``regions(region, k, n, s)`` cut by pivots.
+
+    Pivots are the members of least hash, for several hashes. A region is dealt to shares of
+    ``REGION_SHINGLES`` by a hash of its members; its few pivots go to all its shares.
+    """
+    least = F.array(*[F.min(F.struct(F.xxhash64("region", "k", F.lit(j)), "k"))["k"] for j in range(ROUND_PIVOTS)])
+    chosen = regions.groupBy("region").agg(F.array_distinct(least).alias("p")).select("region", F.explode("p").alias("k"))
+    pivots = regions.select("region", "k", "s").join(chosen, ["region", "k"]).select("region", F.col("k").alias("p"), F.col("s").alias("t"), F.xxhash64("region", "k").alias("cell"))
+    shares = sizes.select("region", F.ceil(F.col("shingles") / REGION_SHINGLES).cast("int").alias("shares"))
+    dealt = regions.join(shares, "region").select("region", F.pmod(F.xxhash64("k"), "shares").cast("int").alias("share"), "k", "n", "s")
+    everywhere = pivots.join(shares, "region").select(F.col("region").alias("of"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("at"), "cell", "p", "t")
+    return everywhere.groupBy("of", "at").cogroup(dealt.groupBy("region", "share")).applyInArrow(_split, "cell long, p long, k long, n long, s binary, inside boolean")
+
+
+def _inside_links(table: pa.Table) -> pa.Table:
+    """(a, b): a spanning forest of the links within a region that one task holds."""
+    k = table["k"].to_numpy()
+    order = np.argsort(k)
+    table, k = table.take(pa.array(order)), k[order]
+    region = Region(_sets(table), table["inside"].to_numpy().astype(bool))
+    first = region.label.copy()
+    region.join(np.arange(len(k)))
+    return _forest(region, k, first)
+
+
+def _forest(region: Region, k: np.ndarray, first: np.ndarray) -> pa.Table:
+    """Edges (a, b) that ``region`` found since its labels were ``first``."""
+    root = region.roots(np.arange(len(k)))
+    new = root != first
+    return pa.table({"a": k[new], "b": k[root[new]]})
+
+
+def _dense_links(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): the links within ``cells(region, k, n, s, inside)`` that pivots don't cut further.
+
+    Members linked with the pivot are one component already, so only pairs with a member
+    outside it are compared: members are dealt to shares, and outsiders, in blocks, meet all
+    of them. A group of near copies has few outsiders, however large it is.
+    """
+    outside = cells.where("not inside").groupBy("region").agg(F.sum("n").alias("out"))
+    plan = sizes.join(outside, "region").select("region", *[F.ceil(F.col(c) / REGION_SHINGLES).cast("int").alias(n) for c, n in (("shingles", "shares"), ("out", "blocks"))])
+    both = cells.join(plan, "region")
+    left = both.select("region", F.pmod(F.xxhash64("k"), "shares").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "k", "s", "inside")
+    others = both.where("not inside").select(F.col("region").alias("of"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("x"), F.pmod(F.xxhash64("k"), "blocks").cast("int").alias("y"), F.col("k").alias("o"), F.col("s").alias("t"))
+
+    def compare(members: pa.Table, outsiders: pa.Table) -> pa.Table:
+        if not len(members) or not len(outsiders):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        k = np.concatenate([members["k"].to_numpy(), outsiders["o"].to_numpy()])
+        known = np.concatenate([members["inside"].to_numpy().astype(bool), np.zeros(len(outsiders), bool)])
+        region = Region(_sets(members) + _sets(outsiders, "t"), known)
+        first = region.label.copy()
+        rows = np.argsort(region.sizes[: len(members)], kind="stable")
+        sizes = region.sizes[rows]
+        for i in range(len(members), len(k)):
+            low, high = np.searchsorted(sizes, [_least_shared(int(region.sizes[i])), region.sizes[i] * 100 // SHARE + 1])
+            rest = rows[low:high]
+            rest = rest[(region.roots(rest) != region.root(i)) & (k[rest] != k[i])]
+            if len(rest):
+                region.link(i, rest)
+        return _forest(region, k, first)
+
+    return left.groupBy("region", "i", "j").cogroup(others.groupBy("of", "x", "y")).applyInArrow(compare, "a long, b long")
+
+
+def region_links(placed: DataFrame) -> DataFrame:
+    """(a, b): edges whose components are those of all links within ``placed(region, k, n, s)``.
+
+    Regions that a task can hold are joined in memory. Larger ones are cut by pivots, round
+    by round; a cell that keeps most of its region is compared as it is, outsiders of
+    its pivot against all.
+    """
+    spark = placed.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    cur = placed.withColumn("inside", F.lit(False))
+    while True:
+        sizes = stored(cur.groupBy("region").agg(F.sum("n").alias("shingles"), F.bool_and("inside").alias("done")).where("not done").drop("done"), "jaccard-sizes")
+        small, big = sizes.where(F.col("shingles") <= REGION_SHINGLES), sizes.where(F.col("shingles") > REGION_SHINGLES)
+        own = cur.join(small.select("region"), "region", "left_semi")
+        links = links.union(stored(own.groupBy("region").applyInArrow(_inside_links, "a long, b long"), "jaccard-found"))
+        if big.isEmpty():
+            return links
+        large = cur.join(big.select("region"), "region", "left_semi").select("region", "k", "n", "s")
+        above = large.select("region", F.col("k").alias("p")).join(big, "region").select(F.xxhash64("region", "p").alias("cell"), F.col("shingles").alias("whole"))
+        cells = stored(_cut(large, big), "jaccard-cells")
+        links = links.union(cells.where("inside and k <> p").select(F.col("k").alias("a"), F.col("p").alias("b")))
+        cells = cells.select(F.col("cell").alias("region"), "k", "n", "s", "inside")
+        found = cells.groupBy("region").agg(F.sum("n").alias("shingles"), F.bool_and("inside").alias("done")).where("not done")
+        judged = stored(found.join(above.withColumnRenamed("cell", "region"), "region"), "jaccard-judged")
+        dense = judged.where((F.col("shingles") > DENSE * F.col("whole")) & (F.col("shingles") > REGION_SHINGLES))
+        links = links.union(stored(_dense_links(cells.join(dense.select("region"), "region", "left_semi"), dense.select("region", "shingles")), "jaccard-dense"))
+        cur = cells.join(judged.join(dense, "region", "left_anti").select("region"), "region", "left_semi")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``.
 
@@ -275,7 +424,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     five-word shingles; a component is named by its smallest doc_id. Documents without
     words link with nothing. Equal sets are one class. A null text has no words; a row
     with a null id is returned with a null component and links nothing; repeated rows are
-    linked copies. Shingles are compared as 64-bit hashes.
+    linked copies; other columns are ignored; an empty table gives no rows. A very long text
+    is one set. Shingles are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
     parts = default_parts(spark)
@@ -286,27 +436,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = docs.where("doc_id is not null")
     sets = stored(surviving_sets(named, classes, parts), "jaccard-sets")
     regions = components(candidate_edges(sets, parts), "jaccard-regions").select(F.col("node").alias("k"), F.col("component").alias("region"))
-    placed = stored(sets.join(regions, "k"), "jaccard-placed")
-    blocks = placed.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    dealt = placed.join(blocks, "region").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k", "s")
-
-    def solve(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["k"].to_numpy())
-        k = group["k"].to_numpy()[order]
-        sets = group["s"].to_pylist()
-        region = Region([np.frombuffer(sets[i], np.uint64) for i in order])
-        region.join(np.arange(len(k)))
-        root = region.roots(np.arange(len(k)))
-        return pa.table({"a": k[root != np.arange(len(k))], "b": k[root[root != np.arange(len(k))]]})
-
-    links = dealt.groupBy("region", "i", "j").applyInArrow(solve, "a long, b long")
-    joined = components(links, "jaccard-links")
+    placed = stored(sets.join(regions, "k").select("region", "k", "n", "s"), "jaccard-placed")
+    discard(sets)
+    joined = components(region_links(placed), "jaccard-links")
     labelled = classes.join(joined, F.col("k") == F.col("node"), "left").select("k", "n", "least", F.coalesce("component", "k").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = stored(labelled.join(lowest, "root").select("k", "n", "component_id"), "jaccard-labels")
-    discard(sets)
     discard(placed)
     out = light.join(by_class, ["k", "n"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -314,15 +449,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the first in the order of the table's partitions.
+    """``docs`` with one row of each component: the one of the smallest doc_id, then of the least hash of its text.
 
-    Works on rows, so repeated and null ids are told apart. ``docs`` must give the same
-    rows in the same partitions when read twice, as a table scan does.
+    Works on rows, so repeated and null ids are told apart; null ids come last, and of equal
+    rows the first of the scan stays. Rows without words are kept. All columns, whatever
+    their names, are returned as they are. ``docs`` must give the same rows in the same
+    partitions when read twice, as a table scan does.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
-    dropped = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__row")), "jaccard-dropped")
-    return rows.join(dropped, "__row", "left_anti").drop("__row")
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row"))
+    id_, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    found = jaccard_components(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text"))).select(F.col("doc_id").alias("row"), F.col("component_id").alias("of"))
+    several = stored(found.join(found.groupBy("of").agg(F.count("*").alias("size")).where("size > 1").select("of"), "of"), "jaccard-groups")
+    order = F.struct(F.col(id_).isNull(), F.col(id_).cast("long"), F.xxhash64(text), "row")
+    first = rows.join(several, "row").groupBy("of").agg(F.min(order)["row"].alias("row"))
+    dropped = stored(several.join(first, ["of", "row"], "left_anti").select("row"), "jaccard-dropped")
+    return rows.join(dropped, "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -144,9 +144,10 @@ def near_copies():
     return [*docs, (0, ""), (2, None), (5, "A  b\tC"), (8, "a b c"), (8, "a b c")]
 
 
-@pytest.mark.parametrize(("block", "leaf"), [(6_000_000, 64), (300, 8)])
-def test_jaccard(spark, near_copies, monkeypatch, block, leaf):
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+@pytest.mark.parametrize(("size", "dense", "leaf"), [(1 << 15, 0.7, 64), (300, 0.7, 8), (300, 0.0, 8), (60, 0.95, 3)])
+def test_jaccard(spark, near_copies, monkeypatch, size, dense, leaf):
+    monkeypatch.setattr(jaccard, "REGION_SHINGLES", size)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     monkeypatch.setattr(jaccard, "LEAF", leaf)
     docs = spark.createDataFrame([(*d, 1) for d in near_copies] + [(None, "a b c", 1)], "doc_id long, text string, n long").repartition(4)
     rows = jaccard.jaccard_components(docs).collect()
