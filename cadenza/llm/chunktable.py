@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 #: A single space between two characters that are not white space.
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Chunks that a worker remembers between batches; further ones are encoded in each batch.
-REMEMBERED = 400_000
+#: Bytes of chunks and ids that a worker remembers between batches; further ones are encoded in each batch.
+REMEMBERED = 80 << 20
 
 
 class ChunkTable:
@@ -34,6 +34,7 @@ class ChunkTable:
     def __init__(self, encode: Callable[[list[str]], list], keep_space: bool, cut: Callable[[str], list[str]], odd: Callable[[str], bool]):
         self.encode, self.keep_space, self.cut, self.odd = encode, keep_space, cut, odd
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _lookup(self, chunks: list[str]) -> list[bytes]:
         known = self.known
@@ -43,8 +44,10 @@ class ChunkTable:
             part = new[at : at + 20_000]
             for i, ids in zip(part, self.encode([chunks[i] for i in part]), strict=True):
                 out[i] = x = np.asarray(ids, np.uint16).tobytes()
-                if len(known) < REMEMBERED:
+                cost = 200 + 2 * len(chunks[i]) + len(x)  # two objects and the table's entry
+                if self.held + cost <= REMEMBERED:
                     known[chunks[i]] = x
+                    self.held += cost
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
