@@ -79,7 +79,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     ``component`` is the smallest node reachable. Alternates large-star and small-star
     rounds until nothing changes, each a shuffle with map-side aggregation; edges are
     written to the shared folder each round so that lineage stays short. Nodes without
-    edges are not listed.
+    edges are not listed. An error is raised where the rounds, far more than the logarithm of
+    any graph's size, were not enough.
     """
     cur = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     state = _edge_state(cur)
@@ -100,5 +101,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         cur, state = new, after
         if before == after:
             break
+    else:
+        raise RuntimeError("components have not converged")
     stars = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

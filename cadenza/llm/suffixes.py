@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import byte_slices, default_parts, stored
+from cadenza.llm.common import byte_slices, default_parts, discard, stored
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are searched for anchors at once; positions must fit 24 bits.
@@ -192,7 +192,7 @@ def _stretches(dealt: DataFrame, length: int) -> DataFrame:
     """(key, hot, uid, p, d, body): the stretches of text of open runs.
 
     ``key`` is the anchor's hash, or, where the anchor's group is dealt to several shares
-    by document, a hash of the anchor and the share; such rows are ``hot``.
+    by document and position, a hash of the anchor and the share; such rows are ``hot``.
     """
 
     def emit(batches):
@@ -202,12 +202,15 @@ def _stretches(dealt: DataFrame, length: int) -> DataFrame:
                 uid = batch.column("uid")[row].as_py()
                 marks = batch.column("marks")[row].values
                 h, p, m, d, shares = (marks.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-                share = _mix(np.full(len(h), uid, np.int64).view(np.uint64)) % shares.astype(np.uint64)
+                share = _mix(_mix(np.full(len(h), uid, np.int64).view(np.uint64)) + p.view(np.uint64)) % shares.astype(np.uint64)
                 key = np.where(shares > 1, _mix(h.view(np.uint64) + _mix(share + np.uint64(1))).view(np.int64), h)
-                bodies = [raw[a:b] for a, b in zip(p.tolist(), (p + m - 1 + length).tolist(), strict=True)]
-                yield pa.record_batch(
-                    [pa.array(key), pa.array(shares > 1), pa.array(np.full(len(h), uid)), pa.array(p), pa.array(d.astype(np.int16)), pa.array(bodies, pa.binary())], names=["key", "hot", "uid", "p", "d", "body"]
-                )
+                ends = p + m - 1 + length
+                held = np.cumsum(ends - p) // SEGMENT  # a long document's stretches go out in several batches
+                cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(h)]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    bodies = [raw[a:b] for a, b in zip(p[low:high].tolist(), ends[low:high].tolist(), strict=True)]
+                    columns = [key, shares > 1, np.full(len(h), uid), p, d.astype(np.int16)]
+                    yield pa.record_batch([*(pa.array(c[low:high]) for c in columns), pa.array(bodies, pa.binary())], names=["key", "hot", "uid", "p", "d", "body"])
 
     return dealt.select("uid", "text", "marks").mapInArrow(emit, "key long, hot boolean, uid long, p long, d short, body binary")
 
@@ -317,35 +320,32 @@ def _across_shares(settled: DataFrame, length: int) -> DataFrame:
     return open_.where("state = 1").join(repeated, ["key", "key2"]).select("uid", "a", (F.col("a") + length).alias("b"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", kept: str | None = "binary") -> DataFrame:
-    """``docs`` with (n_bytes, n_removed, n_spans, kept_sha256, kept) in place of the text column.
+def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with its columns named __0, __1, ... so that no name can clash, the text as __text, and a row number."""
+    columns = [F.col(f"`{c}`").alias("__text" if c == text_col else f"__{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*columns, F.monotonically_increasing_id().alias("__uid"))
 
-    Every byte covered by a ``length``-byte string that also starts elsewhere, in the same
-    or another row, is removed; strings are judged on the input. Each row is a document,
-    so repeated rows remove each other; a null text is empty; texts shorter than
-    ``length`` stay whole. ``docs`` must give the same rows in the same partitions when
-    read twice, as a table scan does. A span may begin or end inside a character: ``kept`` as
-    binary has all remaining bytes, as string it has the whole characters among them, and
-    with None it is left out.
-    """
+
+def _without_repeats(rows: DataFrame, length: int, kept: str | None) -> DataFrame:
+    """The numbered columns of ``rows`` with n_bytes, n_removed, n_spans, kept_sha256 and kept."""
     if length < 64:
         raise ValueError("strings of fewer than 64 bytes need a shorter gram")
-    parts = default_parts(docs.sparkSession)
-    rows = docs.withColumn("uid", F.monotonically_increasing_id())
-    anchors = _anchors(rows.select("uid", F.col(text_col).alias("text")), length)
+    parts = default_parts(rows.sparkSession)
+    texts = rows.select(F.col("__uid").alias("uid"), F.col("__text").alias("text"))
+    anchors = _anchors(texts, length)
     groups = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
     shares = F.when(F.col("low") == F.col("high"), 0).otherwise(F.ceil(F.col("n") / GROUP_ROWS))  # 0: all stretches are equal
     kinds = stored(groups.select("h", shares.cast("long").alias("shares")), "repeat-anchors")
     marks = stored(anchors.select("h", "uid", "p", "m", "d").join(kinds, "h"), "repeat-marks")
-    dealt = rows.repartition(parts, "uid")
+    discard(kinds)
     open_ = marks.where("shares > 0").groupBy("uid").agg(F.collect_list(F.struct("h", "p", "m", "d", "shares")).alias("marks"))
-    stretches = _stretches(dealt.select("uid", F.col(text_col).alias("text")).join(open_, "uid"), length)
+    stretches = _stretches(texts.repartition(parts, "uid").join(open_, "uid"), length)
     settled = stored(_sorted_spans(stretches, parts, length), "repeat-sorted")
     equal = marks.where("shares = 0").select("uid", F.col("p").alias("a"), (F.col("p") + F.col("m") - 1 + length).alias("b"))
     spans = equal.union(settled.where("state = 0").select("uid", "a", "b")).union(_across_shares(settled, length))
-    by_doc = spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    whole = dealt.join(by_doc, "uid", "left")
-    others = [c for c in docs.columns if c != text_col]
+    by_doc = spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
+    whole = rows.repartition(parts, "__uid").join(by_doc, F.col("__uid") == F.col("uid"), "left")
+    others = [c for c in rows.columns if c not in ("__text", "__uid")]
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string() if kept == "string" else pa.binary())] * bool(kept)
 
     def cut(batches):
@@ -367,14 +367,39 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
                 values = [len(text), len(text) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if kept == "string" else left]
                 for column, value in zip(out, values, strict=False):
                     column.append(value)
-            own = [batch.column(f"__{i}") for i in range(len(others))]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, (_, t) in zip(out, fields, strict=True))], names=[*(f"__{i}" for i in range(len(others))), *(n for n, _ in fields)])
-
-    types = dict(docs.dtypes)
-    spec = ", ".join([f"__{i} {types[c]}" for i, c in enumerate(others)] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + [f"kept {kept}"] * bool(kept))
-    named = whole.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(others)], F.col(text_col).alias("__text"), F.col("spans").alias("__spans"))
-    done = named.mapInArrow(cut, spec)
-    return done.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(others)], *[n for n, _ in fields])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *(pa.array(v, t) for v, (_, t) in zip(out, fields, strict=True))], names=[*others, *(n for n, _ in fields)])
+
+    types = dict(rows.dtypes)
+    spec = ", ".join([f"{c} {types[c]}" for c in others] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + [f"kept {kept}"] * bool(kept))
+    return whole.select(*others, "__text", "__spans").mapInArrow(cut, spec)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", kept: str | None = "binary") -> DataFrame:
+    """``docs`` with (n_bytes, n_removed, n_spans, kept_sha256, kept) in place of the text column.
+
+    Every byte covered by a ``length``-byte string that also starts elsewhere, in the same
+    or another row, is removed; strings are judged on the input. Each row is a document,
+    so repeated rows remove each other; a null text is empty; texts shorter than
+    ``length`` stay whole; null ids are returned as they are; an empty table gives no rows.
+    A very long text is searched in segments. An input column that has the name of a result
+    gives way to it; all others are returned as they are. ``docs`` must give the same rows in
+    the same partitions when read twice, as a table scan does. A span may begin or end inside
+    a character: ``kept`` as binary has all remaining bytes, as string it has the whole
+    characters among them, and with None it is left out.
+    """
+    done = _without_repeats(_numbered(docs, text_col), length, kept)
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * bool(kept)
+    own = [F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns) if c != text_col and c not in results]
+    return done.select(*own, *results)
+
+
+def strip_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+    """``docs`` with the same columns and rows, its texts without what ``remove_repeats`` removes.
+
+    Whole characters remain; a null text becomes empty. No column's name can clash.
+    """
+    done = _without_repeats(_numbered(docs, text_col), length, "string")
+    return done.select(*[F.col("kept" if c == text_col else f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op1_suffixes(spark, sf_dir: str) -> DataFrame:
