@@ -17,9 +17,9 @@ from cadenza.llm.common import byte_slices, in_fold, stored
 SIZES, BITS = (3, 4, 5), 22
 #: An n-gram gives a feature for each of these numbers of times that it occurs at least.
 LEVELS = (1, 2, 3)
-#: Bounds of the fit: labelled rows, in hash order of their ids, and n-grams kept.
-MAX_ROWS, MAX_FEATURES = 20_000, 4096
-#: Least log-likelihood ratio between an n-gram and the label.
+#: Bound of the fit: labelled rows, in hash order of their ids.
+MAX_ROWS = 20_000
+#: Least log-likelihood ratio between a feature and the label: a chance of one in a million.
 LEAST_G2 = 24.0
 #: Bytes of text whose n-grams are held at once; a worker's arrays are about fifty times that.
 BATCH_BYTES = 1 << 20
@@ -82,8 +82,8 @@ class ToxicityModel:
         return doc[fresh], feature[fresh]
 
     def place(self) -> np.ndarray:
-        place = np.full(len(LEVELS) << BITS, -1, np.int16)
-        place[self.features] = np.arange(len(self.features), dtype=np.int16)
+        place = np.full(len(LEVELS) << BITS, -1, np.int32)
+        place[self.features] = np.arange(len(self.features), dtype=np.int32)
         return place
 
     def scores(self, texts: list[str], place: np.ndarray | None = None) -> np.ndarray:
@@ -115,21 +115,22 @@ def _logistic(doc, feature, ratios, y, l2: float = 1.0, rounds: int = 300) -> tu
     return w, bias
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicityModel:
     """Fit on ``docs(doc_id, text)`` joined with ``labels(doc_id, toxic)``.
 
-    The fit is bounded: at most ``max_rows`` labelled documents, the first in hash order
-    of their ids, and ``max_features`` features with the greatest log-likelihood ratio; a feature is an
-    n-gram that occurs at least so many times in a document.
+    The fit is bounded by ``max_rows`` labelled documents, the first in hash order of their
+    ids. A feature is an n-gram that occurs at least so many times in a document; all whose
+    log-likelihood ratio with the label is significant are kept, however many there are.
     Counting runs on the executors; the driver gets the kept features' counts and the
-    sample's indices of them. Of a document with several labels the greatest
-    counts; null labels and ids are ignored. With fewer than two classes the score is
-    the smoothed share of toxic rows, (toxic + 1) / (rows + 10).
+    sample's indices of them. Of a document with several labels the greatest counts, of one
+    id with several texts the least text; null labels and ids are ignored. With fewer than
+    two classes the score is the smoothed share of toxic rows, (toxic + 1) / (rows + 10).
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = stored(rows.join(F.broadcast(marks), "doc_id"), "toxicity-sample")  # at most max_rows (long, int) pairs
+    once = rows.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most max_rows (long, int) pairs
+    sample = stored(once, "toxicity-sample")
     by_class = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = by_class.get(1, 0), by_class.get(0, 0)
     none = np.empty(0)
@@ -138,7 +139,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
         return ToxicityModel(none.astype(np.int64), none, none, float(np.log(share / (1 - share))))
 
     def count(batches):
-        held = np.zeros((2, len(LEVELS) << BITS), np.uint16 if max_rows < 1 << 16 else np.uint32)
+        held = np.zeros((2, len(LEVELS) << BITS), np.uint32)
         for batch in byte_slices(batches, "text", BATCH_BYTES):
             y = batch.column("y").to_numpy()
             for owner, bucket in ngram_buckets(batch.column("text").to_pylist()):
@@ -157,7 +158,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
 
     a, b, has = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     g2 = 2 * (cell(a, toxic, has) + cell(b, clean, has) + cell(toxic - a, toxic, n - has) + cell(clean - b, clean, n - has))
-    kept = counts.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "feature").limit(max_features).collect()
+    kept = counts.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy("feature").collect()
     features = np.array([r.feature for r in kept], np.int64)
     seen = np.array([(r.a, r.b) for r in kept], float).reshape(-1, 2)
     ratios = np.log((seen[:, 0] + 1) / (toxic + 2)) - np.log((seen[:, 1] + 1) / (clean + 2))
@@ -167,14 +168,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
         place = model.place()
         for batch in byte_slices(batches, "text", BATCH_BYTES):
             doc, feature = model.present(batch.column("text").to_pylist(), place)
-            lists = np.split(feature.astype(np.int16), np.searchsorted(doc, np.arange(1, batch.num_rows)))
+            lists = np.split(feature.astype(np.int32), np.searchsorted(doc, np.arange(1, batch.num_rows)))
             yield pa.record_batch([batch.column("y"), pa.array([x.tobytes() for x in lists], pa.binary())], names=["y", "features"])
 
     found = sample.select("doc_id", "text", "y").mapInArrow(index, "y int, features binary").collect()
     found.sort(key=lambda r: (r.y, bytes(r.features)))  # the sum's order, so that runs agree to the last bit
-    lists = [np.frombuffer(bytes(r.features), np.int16) for r in found]
+    lists = [np.frombuffer(bytes(r.features), np.int32) for r in found]
     doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    feature = np.concatenate([np.empty(0, np.int16), *lists]).astype(np.int64)
+    feature = np.concatenate([np.empty(0, np.int32), *lists]).astype(np.int64)
     model.weights, model.bias = _logistic(doc, feature, ratios, np.array([r.y for r in found], float))
     return model
 
@@ -194,12 +195,16 @@ def toxicity_column(model: ToxicityModel, text):
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, score), one for each row of ``docs``; a map without a shuffle."""
+    """Rows (id, score), one for each row of ``docs``; a map without a shuffle.
+
+    A null or empty text gets the bias alone; null ids and repeated rows pass through; a very
+    long text is scored whole; other columns are ignored.
+    """
     return docs.select(F.col(id_col).cast("long").alias(id_col), toxicity_column(model, F.col(text_col)).alias("score"))
 
 
 def training_part(docs: DataFrame) -> DataFrame:
-    """Documents outside the held-out fold: crc32 of the id as text, mod 4, is not 2."""
+    """Rows of documents or labels outside the held-out fold: crc32 of the id as text, mod 4, is not 2."""
     return docs.where(~in_fold(F.col("doc_id"), 4, 2))
 
 
@@ -208,6 +213,6 @@ def op7_toxicity(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     from cadenza.llm.common import table
 
     docs = table(spark, sf_dir, "documents")
-    model = fit_toxicity(training_part(docs), table(spark, sf_dir, "labels"))
+    model = fit_toxicity(training_part(docs), training_part(table(spark, sf_dir, "labels")))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
