@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import default_parts, stored
 
 BITS = 64
+#: Bits in which near fingerprints may differ.
+RADIUS = 3
 #: Stands for a null id in keys and order: before all others.
 NO_ID = -(1 << 63)
 
@@ -55,30 +57,26 @@ def as_hex(fingerprint) -> F.Column:
 
 
 def next_in_order(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
-    """(order columns of each row, ``before``: those of the row before it), round to the last.
+    """(order columns of each distinct row, ``copies``, ``before``: the columns of the row before it), round to the last.
 
-    ``rows`` are numbers only. The first order column, a long, is cut into equal ranges;
-    windows run inside a range, and only the ends of the ranges, one row each, meet in one task.
+    ``rows`` are numbers only. They are dealt to ranges of about equal numbers of rows, whatever
+    the gaps between the values; windows run inside a range, and only the ends of the
+    ranges, one row each, meet in one task.
     """
     parts = parts or 4 * default_parts(rows.sparkSession)
-    rows = rows.distinct()
-    lead = F.col(order[0]).cast("decimal(20,0)")
-    ends = rows.where(F.col(order[0]) > NO_ID).agg(F.min(order[0]).alias("lo"), F.max(order[0]).alias("hi"))
-    low, high = ends.first()
-    width = 1 if low is None else (high - low) // parts + 1
-    part = F.when(F.col(order[0]) == NO_ID, F.lit(-1)).otherwise(F.floor((lead - F.lit(low or 0)) / F.lit(width))).cast("long")
-    cut = rows.withColumn("part", part)
+    once = rows.groupBy(*order).agg(F.count("*").alias("copies"))
+    cut = stored(once.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "fingerprint-order")
     me = F.struct(*order)
     lasts = cut.groupBy("part").agg(F.max(me).alias("last"))
-    every = Window.partitionBy(F.lit(0)).orderBy("part")  # at most parts + 1 rows
+    every = Window.partitionBy(F.lit(0)).orderBy("part")  # at most parts rows
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lasts = lasts.select("part", F.coalesce(F.lag("last").over(every), F.last("last").over(whole)).alias("edge"))
     inside = cut.withColumn("before", F.lag(me).over(Window.partitionBy("part").orderBy(*order)))
-    return inside.join(F.broadcast(lasts), "part").select(*order, F.coalesce("before", "edge").alias("before"))
+    return inside.join(F.broadcast(lasts), "part").select(*order, "copies", F.coalesce("before", "edge").alias("before"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """(id, th, text, n_chars, edited, next_id, next_th) from ``docs(id, th, text)``.
+    """(id, th, text, n_chars, edited, next_id, next_th, copies) of the distinct rows of ``docs(id, th, text)``.
 
     The last quarter of a text (n_chars // 4 code points) gives way to the first as many
     of the next one by (id, th). Only those prefixes move besides the texts themselves,
@@ -92,27 +90,29 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     dealt = docs.repartition(default_parts(docs.sparkSession), "id", "th")
     heads = dealt.join(need, ["id", "th"]).select(F.col("b_id").alias("id"), F.col("b_th").alias("th"), F.expr("substring(text, 1, cast(b_chars div 4 as int))").alias("head"), F.col("id").alias("next_id"), F.col("th").alias("next_th"))
     heads = heads.dropDuplicates(["id", "th"])
-    both = dealt.join(heads, ["id", "th"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    both = dealt.join(heads, ["id", "th"]).join(order.select("id", "th", "copies"), ["id", "th"]).withColumn("n_chars", F.char_length("text").cast("long"))
     return both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), head)"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) by document.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
 
-    A null text counts as empty. Rows that repeat id and text are one document; rows with
-    one id and different texts are documents of their own, in the order of a hash of the
-    text. A null id comes first. A single document is followed by itself.
+    A null text counts as empty. Rows that repeat id and text stand at one place of the order
+    and get equal results, a row each; rows with one id and different texts are documents of
+    their own, in the order of a hash of the text. A null id comes first. A single document
+    is followed by itself. A very long text is counted by its terms; other columns are ignored;
+    an empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    keys = ["id", "th", "next_id", "next_th", "n_chars", "sha"]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    keys = ["id", "th", "next_id", "next_th", "n_chars", "sha", "copies"]
     both = edited_texts(rows).withColumn("sha", F.sha2("edited", 256))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body"))))
     hashed = simhash(both.select(*keys, kinds.alias("x")).select(*keys, "x.kind", "x.body"), [*keys, "kind"], "body")
     wide = hashed.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("b"))
     wide = stored(wide, "fingerprints")  # a small row a document; else the votes would be counted twice
     follow = wide.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("a").alias("n"))
-    out = wide.join(follow, ["next_id", "next_th"])
+    out = wide.join(follow, ["next_id", "next_th"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     doc_id = F.when(F.col("id") > NO_ID, F.col("id"))
     return out.select(
         doc_id.alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), as_hex("a").alias("fingerprint"), as_hex("b").alias("edited_fingerprint"),
@@ -120,8 +120,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """All pairs (a, b, distance) of distinct fingerprints, a < b, within the Hamming ``radius``.
+def search_fingerprints(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """Pairs (a, b, distance) of distinct fingerprints, a of ``queries`` and b <> a of ``prints``, within the Hamming ``radius``.
 
     The 64 bits are cut into ``blocks``. Fingerprints within the radius agree in all bits
     of at least ``blocks - radius`` blocks, so one table for each choice of that many
@@ -139,19 +139,36 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int | None = N
         return bits - (1 << 64) if bits >> 63 else bits
 
     masks = [mask(c) for c in combinations(range(blocks), blocks - radius)]
-    keyed = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("f").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)]))
-    rows = prints.select(F.col("fingerprint").alias("f")).where("f is not null").distinct().select("f", keyed.alias("k")).select("f", "k.t", "k.key")
-    other = rows.withColumnRenamed("f", "g")
-    differ = F.col("f").bitwiseXOR(F.col("g"))
+
+    def table(frame, name):
+        keyed = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(name).bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)]))
+        return frame.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct().select(name, keyed.alias("k")).select(name, "k.t", "k.key")
+
+    differ = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(len(masks))
     for t in reversed(range(len(masks))):
         first = F.when(differ.bitwiseAND(F.lit(masks[t]).cast("long")) == 0, F.lit(t)).otherwise(first)
-    found = rows.join(other, ["t", "key"]).where((F.col("f") < F.col("g")) & (F.bit_count(differ) <= radius) & (F.col("t") == first))
-    return found.select(F.col("f").alias("a"), F.col("g").alias("b"), F.bit_count(differ).alias("distance"))
+    found = table(queries, "a").join(table(prints, "b"), ["t", "key"]).where((F.col("a") != F.col("b")) & (F.bit_count(differ) <= radius) & (F.col("t") == first))
+    return found.select("a", "b", F.bit_count(differ).alias("distance"))
+
+
+def near_fingerprints(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """All pairs (a, b, distance) of distinct fingerprints, a < b, within the Hamming ``radius``."""
+    return search_fingerprints(prints, prints, radius, blocks).where("a < b")
 
 
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
+    """Fingerprints of all documents and of their edited texts, and a search of the block tables.
+
+    ``n_near`` is the number of other fingerprints within three bits of a document's, for the
+    documents whose id is divisible by 50, which are searched for among all; null for the rest.
+    """
     from cadenza.llm.common import table
 
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    found = stored(fingerprint_documents(table(spark, sf_dir, "documents")), "fingerprints-found")
+    bits = F.conv("fingerprint", 16, -10).cast("long")
+    asked = found.where("doc_id % 50 = 0").select("fingerprint").distinct()
+    pairs = search_fingerprints(asked.select(bits.alias("fingerprint")), found.select(bits.alias("fingerprint")))
+    near = pairs.groupBy("a").agg(F.count("*").alias("n")).select(as_hex("a").alias("fingerprint"), "n")
+    counts = asked.join(near, "fingerprint", "left").select("fingerprint", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return found.join(counts, "fingerprint", "left").select(*found.columns, F.when(F.col("doc_id") % 50 == 0, F.col("n")).alias("n_near"))
