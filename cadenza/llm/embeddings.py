@@ -50,18 +50,34 @@ def tile_links(rot_a, rot_b, raw_a, raw_b, tail_a, tail_b, steps, threshold, sam
         got = got + np.einsum("ij,ij->i", rot_a[i, done:upto], rot_b[j, done:upto])
         alive = got + tail_a[k][i] * tail_b[k][j] >= threshold - SLACK
         i, j, got, done = i[alive], j[alive], got[alive], upto
-    x, y = raw_a[i], raw_b[j]
+    x, y = raw_a[i], raw_b[j]  # scaled by powers of two, which changes no cosine
     cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
     return i[cosine >= threshold], j[cosine >= threshold]
 
 
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows scaled by a power of two to components of at most 1, so that no product overflows."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])
+
+
+def _same(v) -> F.Column:
+    """128 bits that stand for a vector."""
+    return F.struct(F.xxhash64(F.lit(1), v).alias("h1"), F.xxhash64(F.lit(2), v).alias("h2"))
+
+
+def _linkable(v) -> F.Column:
+    """Whether a vector has finite components only, and one that is not 0."""
+    return v.isNotNull() & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
+
+
 def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, links, edges) of all vectors by cosine.
 
-    Equal vectors are collapsed first: ``classes`` has (rep, w, vector), the least id and
-    the number of copies. ``links`` has (rep, n), the vectors linked to a class outside
-    it. ``edges`` has (a, b), a spanning forest of the links, so that a dense group gives
-    as many rows as it has members and not all its pairs.
+    Equal vectors are collapsed first: ``classes`` has (rep, same, least, w, v): a number, 128
+    bits by which rows find their class, the least id and the number of copies. ``links`` has
+    (rep, n), the vectors linked to a class outside it. ``edges`` has (a, b), a spanning
+    forest of the links, so that a dense group gives as many rows as it has members and not
+    all its pairs.
 
     Vectors are rotated to principal axes and dealt to groups by ranges of the leading
     coordinate. A pair of groups is one task of at most two groups' rows; pairs whose
@@ -70,11 +86,10 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     non-finite components, and rows without an id, are left out. Vectors of another
     length than the most frequent one link among their own length only.
     """
-    x = F.col("v")
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    clean = clean.where(x.isNotNull() & F.col("id").isNotNull())
-    clean = clean.where(~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(x, lambda c: c != 0))
-    classes = stored(clean.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w")).select("rep", "w", "v", F.size("v").alias("dim")), "vector-classes")
+    clean = clean.where(F.col("id").isNotNull() & _linkable(F.col("v")))
+    once = clean.groupBy(_same(F.col("v")).alias("same")).agg(F.min("id").alias("least"), F.count("*").alias("w"), F.first("v").alias("v"))
+    classes = stored(once.withColumn("rep", F.monotonically_increasing_id()).select("rep", "same", "least", "w", "v", F.size("v").alias("dim")), "vector-classes")
     by_dim = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     spark = vectors.sparkSession
     links = edges = None
@@ -90,9 +105,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
 
 def _links_of(classes: DataFrame, dim: int, n: int, threshold: float, group_rows: int) -> DataFrame:
-    fit = classes.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("v").collect()
+    fit = classes.orderBy("same").limit(FIT_ROWS).select("v").collect()
     unit = np.array([r.v for r in fit], float).reshape(len(fit), dim)
-    unit = unit / np.abs(unit).max(1, keepdims=True)
+    unit = _scaled(unit)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     axes = np.linalg.eigh(unit.T @ unit - len(unit) * np.outer(unit.mean(0), unit.mean(0)))[1][:, ::-1]
     groups = max(1, -(-n // group_rows))
@@ -107,7 +122,7 @@ def _links_of(classes: DataFrame, dim: int, n: int, threshold: float, group_rows
             if not batch.num_rows:
                 continue
             raw = batch.column("v").flatten().to_numpy().reshape(-1, dim)
-            scaled = raw / np.abs(raw).max(1, keepdims=True)
+            scaled = _scaled(raw)
             lead = scaled / np.linalg.norm(scaled, axis=1, keepdims=True) @ axes[:, 0]
             low, high = np.searchsorted(bounds, lead, "left"), np.searchsorted(bounds, lead, "right")
             rep = batch.column("rep").to_numpy()
@@ -125,9 +140,8 @@ def _links_of(classes: DataFrame, dim: int, n: int, threshold: float, group_rows
         group = rows["grp"].to_numpy()
         order = np.lexsort((rep, group))
         rep, w, group = rep[order], w[order], group[order]
-        raw = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)[order]
-        scaled = raw / np.abs(raw).max(1, keepdims=True)
-        rotated = scaled / np.linalg.norm(scaled, axis=1, keepdims=True) @ axes
+        raw = _scaled(rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)[order])
+        rotated = raw / np.linalg.norm(raw, axis=1, keepdims=True) @ axes
         tails = [np.sqrt(np.maximum(0, (rotated[:, s:] ** 2).sum(1))) for s in steps]
         label, count = np.arange(len(rep)), np.zeros(len(rep), np.int64)
         cut = int(np.searchsorted(group, group[0], "right"))
@@ -154,21 +168,35 @@ def _links_of(classes: DataFrame, dim: int, n: int, threshold: float, group_rows
     return stored(found, "vector-links")
 
 
-def op8_embeddings(spark, sf_dir: str, threshold: float = 0.9) -> DataFrame:
-    """Links, component and kept flag of every vector at cosine 0.9."""
-    from cadenza.llm.common import table
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    classes, links, edges = embedding_links(vectors, threshold)
+    Rows are the nodes: rows that repeat an id with other vectors have links of their own,
+    and equal vectors, repeated rows among them, link with each other. A component has the
+    least id in it. Null, zero and non-finite vectors, and rows without an id, link with
+    nothing; a null id stays null and is not kept. Other columns are ignored; an empty
+    table gives no rows.
+    """
+    classes, links, edges = embedding_links(vectors, threshold, id_col, vector_col)
     comp = components(edges)
-    per_class = classes.join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    per_class = stored(per_class.select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-result")
-    rows = vectors.withColumn("v", F.when(F.col("vec_id").isNotNull(), F.col("embedding").cast("array<double>")))
-    out = rows.join(per_class, "v", "left")
+    labelled = classes.select("rep", "same", "least", "w").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
+    labelled = stored(labelled.select("same", "least", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("of")), "vector-result")
+    lowest = labelled.groupBy("of").agg(F.min("least").alias("component_id"))
+    by_class = labelled.join(lowest, "of").select("same", "n_links", "component_id")
+    v = F.col(f"`{vector_col}`").cast("array<double>")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(F.col(f"`{id_col}`").isNotNull() & _linkable(v), _same(v)).alias("same"))
+    out = rows.join(by_class, "same", "left")
     comp_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(comp_id == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
+def op8_embeddings(spark, sf_dir: str, threshold: float = 0.9) -> DataFrame:
+    """Links, component and kept flag of every vector at cosine 0.9."""
+    from cadenza.llm.common import table
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold)
+
+
 OP8_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
