@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from cadenza.llm import embeddings, fingerprints, jaccard, suffixes
 from cadenza.llm.common import components
@@ -212,11 +213,46 @@ def test_fingerprints(spark, small):
     assert np.mean([r.near_edited for r in rows.values()]) > 0.2 + np.mean([r.near_next for r in rows.values()])
 
 
+def simhash_brute(text):
+    """The fingerprint bit by bit, with the XXH64 library."""
+    words = re.split(r"[ \t\n\x0b\f\r]+", text.lower())
+    votes = [0] * 64
+    for w, after in zip(words, [*words[1:], None], strict=True):
+        h = xxhash.xxh64_intdigest(w.encode(), 42)
+        h = h if after is None else xxhash.xxh64_intdigest(after.encode(), h)
+        for b in range(64):
+            votes[b] += (1 if h >> b & 1 else -1) * (len(w) + len(after or ""))
+    return f"{sum(1 << b for b in range(64) if votes[b] > 0):016x}"
+
+
+def test_fingerprints_against_brute_force(spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(80).collect()]
+    texts += ["", " lead and trail ", "one", "Two\twords\n", "x " * 5000, None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: simhash_brute(t or "") for i, t in rows} == found
+
+
+def test_near_counts(spark, small):
+    rows = fingerprints.op2_fingerprints(spark, small).collect()
+    prints = {int(r.fingerprint, 16) for r in rows}
+    for r in rows:
+        mine = int(r.fingerprint, 16)
+        assert r.n_near == (None if r.doc_id % 50 else sum(bin(mine ^ p).count("1") <= 3 for p in prints) - 1)
+
+
+def test_order_with_an_outlier(spark):
+    ids = [*range(500), 1 << 50, -5]
+    rows = fingerprints.next_in_order(spark.createDataFrame([(i,) for i in ids], "id long"), ["id"], 8).collect()
+    ordered = sorted(ids)
+    assert {(r.id, r.before.id) for r in rows} == set(zip(ordered, [ordered[-1], *ordered[:-1]], strict=True))
+
+
 def test_fingerprint_cases(spark):
-    rows = [(3, "a b c"), (3, "a b c"), (None, "x y"), (5, None), (9, ""), (9, "zz 1 "), (1, "hello wörld and more text")]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, w string")
+    rows = [(3, "a b c"), (3, "a b c"), (None, "x y"), (None, "x y"), (5, None), (9, ""), (9, "zz 1 "), (1, "hello wörld and more text")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, copies string")
     found = fingerprints.fingerprint_documents(docs).collect()
-    assert len(found) == 6  # the repeated row is one document
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(i) for i, _ in rows)  # a row for each row
     one = fingerprints.fingerprint_documents(docs.where("doc_id = 1")).first()
     assert one.near_next == 1.0
 
@@ -253,3 +289,26 @@ def test_embeddings(spark, tmp_path):
     _, parted, _ = embeddings.embedding_links(frame, group_rows=60)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parted.collect()))
     assert embeddings.embedding_links(frame.limit(0))[1].count() == 0
+
+
+def test_embedding_cases(spark, tmp_path):
+    """Rows of one id with other vectors, huge components, repeated rows, clashing names."""
+    e = np.eye(4).tolist()
+    rows = [(1, e[0]), (1, e[1]), (2, e[0]), (3, [0.0, 0.0, 0.0, 1e200]), (4, [0.0, 0.0, 1e190, 2e200]), (5, e[2]), (5, e[2]), (None, e[2]), (6, [5e-320, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame([(*r, 7, 8) for r in rows], "vec_id long, embedding array<double>, rep long, same long")
+    got = sorted((tuple(r) for r in embeddings.near_duplicate_vectors(frame).collect()), key=str)
+    want = [(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (5, 1, 5, True), (None, 0, None, False), (6, 2, 1, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like those that the operators use inside come back as they were."""
+    row = (1, "word " * 60, 70, 5, "k", [1, 2], "r")
+    spark.createDataFrame([row, (2, *row[1:])], "doc_id long, text string, uid long, n_bytes long, kept string, spans array<int>, __row string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    done = suffixes.remove_repeats(docs, kept=None)
+    assert done.columns == ["doc_id", "uid", "kept", "spans", "__row", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and {(r.uid, r.n_bytes, r.n_removed) for r in done.collect()} == {(70, 300, 300)}
+    left = suffixes.strip_repeats(docs)
+    assert left.columns == docs.columns and [tuple(r)[1:] for r in left.collect()] == [("", *row[2:])] * 2
+    first = jaccard.keep_first(docs).collect()
+    assert [tuple(r) for r in first] == [row]

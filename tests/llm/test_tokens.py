@@ -74,6 +74,39 @@ def test_pieces(docs):
     assert back == {(i, model.decode(model.encode(t, add_bos=True, add_eos=True))) for i, t in texts_of(docs)}
 
 
+def test_pieces_of_short_strings(spark):
+    """All strings of up to five characters over blank, newline, tab, a letter and the marker, and random ones."""
+    import itertools
+    import random
+
+    import pyarrow as pa
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    _, words = pieces._model(PIECES)
+    texts = ["".join(x) for n in range(6) for x in itertools.product("a \n\t▁", repeat=n)]
+    rng = random.Random(4)
+    texts += ["".join(chr(rng.choice([32, 32, 10, 13, 0xA0, 0x2028, 0x3000, 97, 98, 233, 0x4E2D, 0x1F600, rng.randrange(1, 0xD7FF)])) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    sizes, flat = words.ids(pa.array(texts))
+    ends = sizes.cumsum()
+    got = [flat[e - n : e].tolist() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    assert got == model.encode(texts, num_threads=1)
+
+
+def test_long_texts_without_blanks(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    text = "中文字" * 30_000
+    docs = spark.createDataFrame([(1, text), (2, text + " x")], "doc_id long, text string")
+    model, tokenizer = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(BPE)
+    assert {r.doc_id: r.n_tokens for r in pieces.round_trip_digests(docs, PIECES).collect()} == {i: len(model.encode(t)) + 2 for i, t in ((1, text), (2, text + " x"))}
+    counts = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in ((1, text), (2, text + " x"))}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, BPE).collect()} == counts
+    packed = packing.pack_power_of_two(docs, BPE).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert {r.doc_id: (r["sum(length)"], r["max(doc_tokens)"]) for r in packed} == {i: (n + 1, n + 1) for i, n in counts.items()}
+
+
 def test_empty(docs):
     none = docs.limit(0)
     assert token_counts.token_counts(none, BPE).collect() == packing.pack_power_of_two(none, BPE).collect() == pieces.round_trip_digests(none, PIECES).collect() == []

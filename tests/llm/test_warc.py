@@ -20,7 +20,7 @@ def leaves(spark, changes=()):
 
 def test_equal_replicas(spark):
     same_ = leaves(spark)
-    top = warc.merkle_levels(same_, 500, 4)[-1].collect()
+    top = warc.merkle_levels(same_, 500, 4)[-1].nodes.collect()
     assert len(top) == 2 and top[0].sha256 == top[1].sha256
     assert warc.audit(same_, "a", "b", 500, 4).count() == 0
 
@@ -30,11 +30,26 @@ def test_differences(spark):
     assert {(r.file, r.offset, r.status) for r in rows} == {(3, 700, "changed"), (39, 2900, "missing"), (0, 0, "extra"), (-1, 100, "changed")}
 
 
-def test_nulls_repeats_and_nothing(spark):
-    pages = spark.createDataFrame([(1, "u", "h", "x"), (1, "u", "h", "x"), (None, None, None, None), (2, "ü", "", "y")], "page_id long, url string, html string, file string")
-    index = warc.record_index(warc.page_records(pages)).collect()
-    assert sorted((r.file, r.offset) for r in index)[0] == (-1, 0) and len({(r.file, r.offset) for r in index}) == 4
-    assert warc.record_index(warc.page_records(pages.limit(0))).count() == 0
+def test_nulls_repeats_and_extras(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, f"u{i}", f"page {i} é", "x") for i in (5, 9, 7, 108, 112, 102, 1005, 2000, 1112)]
+    rows += [(None, None, None, None), (None, "u", "no id", "x"), (None, "u", "no id", "x"), (5, "u5", "", "y"), (9, "u9", "page 9 é", "x"), (7, None, None, "z"), (4, "", "", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, file string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = same(warc.op10_warc(spark, str(tmp_path)), con, ORACLE_SQL["op10_warc"])
+    assert got == want
+    found = warc.op10_warc(spark, str(tmp_path)).collect()
+    assert {r.status for r in found} == {"missing", "extra", "changed"} and all(r.page_id is not None for r in found)
+    assert sum(r.status == "extra" for r in found) == 3 and sum(r.status == "missing" for r in found) == 3
+    index = warc.record_index(warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string, file string"))).collect()
+    assert len({(r.file, r.offset) for r in index}) == len(rows) and sum(r.file < 0 for r in index) == 3
+
+
+def test_nothing(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.op10_warc(spark, str(tmp_path)).count() == 0
     assert warc.audit(leaves(spark).limit(0), "a", "b").count() == 0
 
 
