@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import stored, table
 from cadenza.llm.jaccard import keep_first
 from cadenza.llm.packing import pack_power_of_two
-from cadenza.llm.suffixes import remove_repeats
+from cadenza.llm.suffixes import strip_repeats
 from cadenza.llm.toxicity import fit_toxicity, toxicity_column, training_part
 from cadenza.session import ship
 
@@ -17,13 +17,21 @@ TOXIC = 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the n-gram classifier, fitted on the labels' training folds, rejects."""
-    model = fit_toxicity(training_part(docs), table(spark, sf_dir, "labels"))
+    """Drops documents that the n-gram classifier, fitted on the labels' training folds, rejects.
+
+    A null or empty text has the bias as its score; null ids and repeated rows are judged by
+    their texts; a very long text is judged whole; other columns pass through.
+    """
+    model = fit_toxicity(training_part(docs), training_part(table(spark, sf_dir, "labels")))
     return docs.where(toxicity_column(model, F.col("text")) < TOXIC)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component at Jaccard 0.75 of five-word shingles."""
+    """Keeps one document of each component at Jaccard 0.75 of five-word shingles, the one of the smallest id.
+
+    Null and empty texts are kept; null ids and repeated rows are documents like others; other
+    columns pass through.
+    """
     ship(spark)
     return keep_first(docs)
 
@@ -31,16 +39,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of 200 bytes that occur more than once; all documents stay, n_chars is counted anew.
 
-    Characters that a removed span cut through are removed with it.
+    Characters that a removed span cut through are removed with it. A null text becomes empty;
+    null ids and repeated rows are documents like others; other columns pass through.
     """
     ship(spark)
-    columns = docs.columns
-    done = remove_repeats(docs, kept="string").withColumn("text", F.col("kept"))
-    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+    done = strip_repeats(docs)
+    counted = {"n_chars": F.char_length("text").cast("long")}
+    return done.select(*[counted[c].alias(c) if c in counted else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the ids of all documents into sequences of a power of two up to 1024."""
+    """Packs the ids of all documents into sequences of a power of two up to 1024.
+
+    A null or empty text has its end id only; null ids and repeated rows are packed like others.
+    """
     import public_tokenizers
 
     ship(spark)
