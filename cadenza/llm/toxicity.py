@@ -21,6 +21,8 @@ LEVELS = (1, 2, 3)
 MAX_ROWS = 20_000
 #: Least log-likelihood ratio between a feature and the label: a chance of one in a million.
 LEAST_G2 = 24.0
+#: Features of the sample that the fit works on at once.
+BLOCK = 1 << 20
 #: Bytes of text whose n-grams are held at once; a worker's arrays are about fifty times that.
 BATCH_BYTES = 1 << 20
 
@@ -82,8 +84,8 @@ class ToxicityModel:
         return doc[fresh], feature[fresh]
 
     def place(self) -> np.ndarray:
-        place = np.full(len(LEVELS) << BITS, -1, np.int32)
-        place[self.features] = np.arange(len(self.features), dtype=np.int32)
+        place = np.full(len(LEVELS) << BITS, -1, np.int16 if len(self.features) < 1 << 15 else np.int32)
+        place[self.features] = np.arange(len(self.features), dtype=place.dtype)
         return place
 
     def scores(self, texts: list[str], place: np.ndarray | None = None) -> np.ndarray:
@@ -92,23 +94,49 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def _logistic(doc, feature, ratios, y, l2: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Full-batch accelerated gradient descent on the ridge-penalised log loss."""
+def _logistic(feature: np.ndarray, ends: np.ndarray, ratios, y, l2: float = 1.0, rounds: int = 100, close: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Full-batch accelerated gradient descent on the ridge-penalised log loss.
+
+    ``feature`` has the features of all rows in turn, ``ends`` where each row ends. Rows are
+    passed through in blocks, so that besides ``feature`` little is held. Stops when the
+    gradient has shrunk to ``close`` of its first size.
+    """
     n, k = len(y), len(ratios)
-    x = ratios[feature]
+    starts = np.concatenate([[0], ends[:-1]])
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + BLOCK, BLOCK)).clip(0, n)) if n else np.zeros(1, np.int64)
+    cuts = np.unique([0, *cuts.tolist(), n])
+    blocks = [(a, b, feature[starts[a] : ends[b - 1]], ends[a:b] - starts[a], np.diff(np.append(starts[a:b], ends[b - 1]))) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def margins(w):
+        out, weighted = np.empty(n), w * ratios
+        for a, b, own, upto, _ in blocks:
+            sums = np.concatenate([[0.0], np.cumsum(weighted[own])])
+            out[a:b] = np.diff(sums[upto], prepend=0.0)
+        return out
+
+    def back(g):
+        out = np.zeros(k)
+        for a, b, own, _, sizes in blocks:
+            out += np.bincount(own, np.repeat(g[a:b], sizes), k)
+        return out * ratios
+
     w, bias = np.zeros(k), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-    v = np.ones(k)
+    v, top = np.ones(k), 0.0
     for _ in range(20):  # largest eigenvalue, for the step
-        v = np.bincount(feature, x * np.bincount(doc, x * v[feature], n)[doc], k)
+        v = back(margins(v))
         top = np.linalg.norm(v)
         v = v / max(top, 1e-12)
     step = 1 / (0.25 * (top + n) + l2)
-    ahead_w, ahead_b, old_w, old_b = w, bias, w, bias
+    ahead_w, ahead_b, old_w, old_b, first = w, bias, w, bias, None
     for t in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(ahead_b + np.bincount(doc, x * ahead_w[feature], n), -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(ahead_b + margins(ahead_w), -40, 40)))
         g = p - y
-        w = ahead_w - step * (np.bincount(feature, x * g[doc], k) + l2 * ahead_w)
-        bias = ahead_b - step * g.sum()
+        slope = back(g) + l2 * ahead_w
+        size = float(np.sqrt(slope @ slope + g.sum() ** 2))
+        first = size if first is None else first
+        w, bias = ahead_w - step * slope, ahead_b - step * g.sum()
+        if size <= close * first:
+            break
         m = t / (t + 3)
         ahead_w, ahead_b = w + m * (w - old_w), bias + m * (bias - old_b)
         old_w, old_b = w, bias
@@ -139,7 +167,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
         return ToxicityModel(none.astype(np.int64), none, none, float(np.log(share / (1 - share))))
 
     def count(batches):
-        held = np.zeros((2, len(LEVELS) << BITS), np.uint32)
+        held = np.zeros((2, len(LEVELS) << BITS), np.uint16 if max_rows < 1 << 16 else np.uint32)  # a row counts once
         for batch in byte_slices(batches, "text", BATCH_BYTES):
             y = batch.column("y").to_numpy()
             for owner, bucket in ngram_buckets(batch.column("text").to_pylist()):
@@ -174,9 +202,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     found = sample.select("doc_id", "text", "y").mapInArrow(index, "y int, features binary").collect()
     found.sort(key=lambda r: (r.y, bytes(r.features)))  # the sum's order, so that runs agree to the last bit
     lists = [np.frombuffer(bytes(r.features), np.int32) for r in found]
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    feature = np.concatenate([np.empty(0, np.int32), *lists]).astype(np.int64)
-    model.weights, model.bias = _logistic(doc, feature, ratios, np.array([r.y for r in found], float))
+    ends = np.cumsum([len(x) for x in lists])
+    model.weights, model.bias = _logistic(np.concatenate([np.empty(0, np.int32), *lists]), ends, ratios, np.array([r.y for r in found], float))
     return model
 
 
