@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 from cadenza.session import shared_folder, ship
 
 
+#: Bytes of the rows that Spark sends to a Python worker at once, where the session names no bound of its own.
+ARROW_BYTES = 6 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A named table of a data folder; read by Spark, so any store works."""
+    """A named table of a data folder; read by Spark, so any store works.
+
+    Arrow batches are bounded by bytes as well as rows, since 10,000 long texts are too many at once.
+    """
     ship(spark)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
