@@ -21,7 +21,7 @@ from cadenza.llm.shingles import mixed, shingle_sets
 
 #: Links have 100 * intersection >= SHARE * union.
 SHARE = 75
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 #: Share of a set, in hundredths, that the first filter reads beyond the shortest prefix.
 EXTRA = 10
 #: Shingles of a region that one task joins in memory; larger regions are cut by pivots over many tasks.
