@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,11 +200,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
             lists = np.split(feature.astype(np.int32), np.searchsorted(doc, np.arange(1, batch.num_rows)))
             yield pa.record_batch([batch.column("y"), pa.array([x.tobytes() for x in lists], pa.binary())], names=["y", "features"])
 
-    found = sample.select("doc_id", "text", "y").mapInArrow(index, "y int, features binary").collect()
-    found.sort(key=lambda r: (r.y, bytes(r.features)))  # the sum's order, so that runs agree to the last bit
-    lists = [np.frombuffer(bytes(r.features), np.int32) for r in found]
-    ends = np.cumsum([len(x) for x in lists])
-    model.weights, model.bias = _logistic(np.concatenate([np.empty(0, np.int32), *lists]), ends, ratios, np.array([r.y for r in found], float))
+    found = sample.select("doc_id", "text", "y").mapInArrow(index, "y int, features binary")
+    lists = [(r.y, np.frombuffer(bytes(r.features), np.int32)) for r in found.toLocalIterator()]
+    lists.sort(key=lambda r: (r[0], xxhash.xxh3_128_intdigest(r[1])))  # the sum's order, so that runs agree to the last bit
+    ends = np.cumsum([len(x) for _, x in lists])
+    model.weights, model.bias = _logistic(np.concatenate([np.empty(0, np.int32), *(x for _, x in lists)]), ends, ratios, np.array([y for y, _ in lists], float))
     return model
 
 
