@@ -22,7 +22,7 @@ from cadenza.llm.common import byte_slices, default_parts, discard, stored
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are searched for anchors at once; positions must fit 24 bits.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 #: Stretches with one anchor that are sorted together; larger groups are sorted in several shares.
 GROUP_ROWS = 4096
 #: Stretches that a task sorts at once.
