@@ -40,15 +40,45 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write Parquet beside ``path`` and rename it into place, so readers see a whole table or the former one."""
+    """Write Parquet beside ``path`` and rename it into place.
+
+    The former table is set aside by a rename and deleted last, so that a whole table is on
+    the store at any time: under ``path``, or under ``path.former`` after a crash between the
+    two renames, which the next call puts back first.
+    """
     spark = df.sparkSession
     building = f"{path}.building"
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(building)
+    recover(spark, path)
     jvm, new, fs = _fs(spark, building)
-    final = jvm.org.apache.hadoop.fs.Path(path)
-    fs.delete(final, True)
+    final, former = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.former"))
+    if fs.exists(final):
+        fs.delete(former, True)
+        if not fs.rename(final, former):
+            raise OSError(f"could not set {path} aside")
     if not fs.rename(new, final):
+        fs.rename(former, final)
         raise OSError(f"could not publish {path}")
+    fs.delete(former, True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Puts back a table that a crash between the renames of ``publish`` left aside; tells whether it did."""
+    _, final, fs = _fs(spark, path)
+    _, former, _ = _fs(spark, f"{path}.former")
+    return bool(not fs.exists(final) and fs.exists(former) and fs.rename(former, final))
+
+
+def insert(df: DataFrame, path: str) -> None:
+    """Rows of ``df`` added to a published table by columns' names; the table is published anew, so all or none are seen."""
+    former = df.sparkSession.read.parquet(path)
+    publish(former.unionByName(df.select(*former.columns)), path)
+
+
+def delete(spark: SparkSession, path: str, condition: str) -> None:
+    """Rows for which the SQL ``condition`` holds removed from a published table; those for which it is null stay."""
+    rows = spark.read.parquet(path)
+    publish(rows.where(~F.coalesce(F.expr(condition), F.lit(False))), path)
 
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
@@ -69,7 +99,7 @@ def write_json(spark: SparkSession, value, path: str) -> None:
 def content_checksum(df: DataFrame) -> str:
     """A digest of a table's rows in any order and partitioning: equal tables have equal ones.
 
-    Rows are hashed to 128 bits; sums of the halves, the number of rows and the schema are
+    Rows are hashed to twice 60 bits; sums of the two, the number of rows and the schema are
     hashed again. Part files are not byte-stable, so files are not what is hashed.
     """
     row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
