@@ -46,13 +46,16 @@ def split_integrity(edges: DataFrame, assigned: DataFrame, min_evaluation_items:
 
 
 def split_audit(assigned: DataFrame) -> DataFrame:
-    """(metric, value): rows of each part, users evaluated, and training users and items."""
+    """(metric, value): rows of each part, users evaluated, training users and items, held-out rows of items that training lacks, repeated pairs."""
     wide = assigned.agg(
         *[F.count_if(F.col("split") == p).alias(f"{p}_rows") for p in PARTS],
         F.count_distinct(F.when(F.col("split") == "validation", F.col("user_id"))).alias("evaluation_users"),
         F.count_distinct(F.when(F.col("split") == "train", F.col("user_id"))).alias("train_users"),
         F.count_distinct(F.when(F.col("split") == "train", F.col("item_id"))).alias("train_items"),
     )
+    absent = assigned.where("split <> 'train'").join(assigned.where("split = 'train'").select("item_id").distinct(), "item_id", "left_anti")
+    repeated = assigned.groupBy("user_id", "item_id").agg((F.count("*") - 1).alias("n"))
+    wide = wide.crossJoin(absent.agg(F.count("*").alias("held_out_rows_absent_from_train"))).crossJoin(repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_assignments")))  # one row each
     names = wide.columns
     return wide.unpivot([], names, "metric", "value")
 
