@@ -113,17 +113,23 @@ def ranking_head(ranking: DataFrame, n: int, *order) -> DataFrame:
 def recommend_from_ranking(users: DataFrame, seen: DataFrame, ranking: DataFrame, k: int, *order) -> DataFrame:
     """The first k unseen items of one ranking, by ``order``, for every user.
 
-    Only the first k + m places can matter, m being the longest history, so each user
-    meets as many rows and no more.
+    A user who has seen m items needs the first k + m places and no more, so a long history
+    costs its own user only.
     """
     own = seen.select("user_id", "item_id").distinct()
     head = ranking_head(ranking, k + longest_history(own), *order)
-    every = users.select("user_id").distinct().crossJoin(head)
+    every = _needed_places(users.select("user_id").distinct(), own, k).join(head, "place")
     fresh = every.join(own, ["user_id", "item_id"], "left_anti")
     by_place = Window.partitionBy("user_id").orderBy("place")
     return fresh.withColumn("rank", F.row_number().over(by_place).cast("long")).where(F.col("rank") <= k).select("user_id", "item_id", "rank")
 
 
+def _needed_places(users: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """``users`` with a row for each of the places 1..k + m, m being the number of a user's items in ``own``."""
+    sized = users.join(own.groupBy("user_id").agg(F.count("*").alias("h")), "user_id", "left")
+    return sized.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("h", F.lit(0)) + k))).drop("h")
+
+
 def recommend_popular(rows: DataFrame, users: DataFrame, k: int = 10, alpha: float = 1.0) -> DataFrame:
     return recommend_from_ranking(users, rows, global_ranking(rows, alpha), k, F.desc("listeners"), F.desc(F.round("confidence_sum", 6)), "item_id")
 
@@ -147,8 +153,8 @@ def recommend_history_popularity(rows: DataFrame, users: DataFrame, popularity:
     longest = longest_history(own)
     by_target = targets.select("target").distinct().crossJoin(items)  # at most 101 rows on the left
     order = Window.partitionBy("target").orderBy(F.abs(F.col("popularity") - F.col("target")), F.desc("listeners"), F.desc(F.round("confidence_sum", 6)), "item_id")
-    ranked = by_target.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + longest).select("target", "item_id", "place")
-    fresh = targets.join(ranked, "target").join(own, ["user_id", "item_id"], "left_anti")
+    ranked = by_target.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k + longest).select("target", "item_id", "place")
+    fresh = _needed_places(targets, own, k).join(ranked, ["target", "place"]).join(own, ["user_id", "item_id"], "left_anti")
     final = Window.partitionBy("user_id").orderBy("place")
     return fresh.withColumn("rank", F.row_number().over(final).cast("long")).where(F.col("rank") <= k).select("user_id", "item_id", "rank")
 
