@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators.features import as_vectors
 from cadenza.operators.registry import Registry
+from cadenza.sources.tables import require_checksum
 
 
 def check_split(split: str, allow_test: bool) -> None:
@@ -90,6 +92,10 @@ class DataLoader:
         own = self._read("split", self.split_version).where(F.col("split") == name).select("user_id", "item_id")
         return own.join(self._read("dataset", self.data_version).select("user_id", "item_id", "play_count"), ["user_id", "item_id"])
 
+    def split_records(self, name: str) -> DataFrame:
+        """``split`` in the order of user and item."""
+        return self.split(name).orderBy("user_id", "item_id")
+
     def splits(self) -> Split:
         check_split("test", self.allow_test)
         return Split(*[self.split(s) for s in ("train", "validation", "test")], self.registry.require("split", self.split_version))
@@ -105,16 +111,23 @@ class DataLoader:
             raise ValueError("users have several held-out items")
         return rows
 
-    def vectors(self) -> DataFrame:
-        """(item_id, features); width and ids are checked against the registry."""
+    def feature_matrix(self) -> DataFrame:
+        """The feature table as it was published, by item; columns, rows, ids and checksum must be the registered ones."""
         config = self.registry.require("features", self.feature_version)
         df = self._read("features", self.feature_version)
         columns = config.get("columns")
         if columns and df.columns != ["item_id", *columns]:
             raise ValueError("feature columns differ from the registered ones")
-        from cadenza.operators.features import as_vectors
+        rows, ids = df.agg(F.count("*"), F.count_distinct("item_id")).first()
+        if rows != ids or rows != config.get("rows", rows):
+            raise ValueError(f"{rows} feature rows of {ids} items, {config.get('rows', ids)} registered")
+        if "checksum" in config:
+            require_checksum(df, config["checksum"])
+        return df.orderBy("item_id")
 
-        return as_vectors(df)
+    def vectors(self) -> DataFrame:
+        """(item_id, features) of ``feature_matrix``."""
+        return as_vectors(self.feature_matrix())
 
     def experiment(self, evaluation_split: str = "validation") -> ExperimentData:
         """The bundle of one evaluation; 'train' can't be evaluated, and the contract must hold."""

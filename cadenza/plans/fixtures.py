@@ -25,7 +25,7 @@ SELECT p_partkey AS source_row_id,
   CAST(p_size % 4 AS DOUBLE) / 4 AS danceability, CAST(p_partkey % 53 AS DOUBLE) / 50 AS energy,
   CAST(p_size % 14 - 1 AS INT) AS key, -CAST(p_size AS DOUBLE) / 8 AS loudness, CAST(p_partkey % 37 % 3 AS INT) AS mode,
   0.25 * CAST(p_size % 3 AS DOUBLE) AS speechiness, 0.5 * CAST(p_size % 2 AS DOUBLE) AS acousticness, 0.125 * CAST(p_size % 8 AS DOUBLE) AS instrumentalness,
-  0.25 * CAST(p_size % 5 AS DOUBLE) AS liveness, CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS valence,
+  0.25 * CAST(p_size % 5 AS DOUBLE) AS liveness, CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE 0.125 * CAST(p_partkey % 9 AS DOUBLE) END AS valence,
   CAST(p_size % 11 AS DOUBLE) * 12.5 AS tempo, CAST(p_size % 6 AS INT) AS time_signature,
   CASE WHEN p_partkey % 29 = 0 THEN '' ELSE p_type END AS track_genre
 FROM part"""

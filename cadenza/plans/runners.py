@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 import time
 from collections.abc import Callable
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cadenza.operators import models as M
 from cadenza.operators.factorization import ImplicitALS, sgd_factors
 from cadenza.operators.metrics import assert_unseen, evaluate_topk, single_truth_metrics
-from cadenza.operators.splits import leave_largest_out
+from cadenza.operators.splits import country_sample, leave_largest_out
+from cadenza.session import checkpointed
 
 
 def grid(**options) -> list[dict]:
@@ -27,7 +29,7 @@ MULTI_GRID = {"alpha": [0.9], "global_weight": [0.1, 0.2, 0.3], "clusters": [8,
 
 
 def run_grid(configs: list[dict], recommend: Callable[..., DataFrame], seen: DataFrame, truth: DataFrame, catalog: DataFrame, k_values=(10, 20)) -> list[dict]:
-    """Metrics and seconds of each configuration, best NDCG at the largest k first, then the fastest.
+    """Metrics and seconds of each configuration, best NDCG at the largest k first, equals in the order of their values.
 
     Each configuration is a distributed job of its own; only its few metrics reach the driver.
     """
@@ -41,16 +43,7 @@ def run_grid(configs: list[dict], recommend: Callable[..., DataFrame], seen: Dat
         scores = {f"{name}@{r.k}": getattr(r, name) for r in rows for name in ("recall", "ndcg", "hit_rate", "coverage")}
         results.append({"config": config, "metrics": scores, "seconds": time.perf_counter() - began})
     best = f"ndcg@{max(k_values)}"
-    return sorted(results, key=lambda r: (-r["metrics"][best], r["seconds"]))
-
-
-def best_per_model(records: list[dict], metric: str = "recall@20") -> dict[str, dict]:
-    """The first record of the greatest metric for each model."""
-    best: dict[str, dict] = {}
-    for r in records:
-        if r["model"] not in best or r["metrics"].get(metric, 0.0) > best[r["model"]]["metrics"].get(metric, 0.0):
-            best[r["model"]] = r
-    return best
+    return sorted(results, key=lambda r: (-round(r["metrics"][best], 9), [str(v) for v in r["config"].values()]))
 
 
 def run_item_knn(train: DataFrame, truth: DataFrame, catalog: DataFrame, options: dict | None = None, k: int = 20) -> list[dict]:
@@ -72,23 +65,55 @@ def run_hybrid(train: DataFrame, truth: DataFrame, vectors: DataFrame, weights=(
     return run_grid(grid(cf_weight=list(weights)), lambda cf_weight: M.top_k_unseen(M.hybrid_dense(cf, content, cf_weight), train, k), train, truth, vectors.select("item_id"))
 
 
-def demo(spark: SparkSession) -> dict[str, dict]:
-    """Six models on twelve interactions: recall and NDCG at 2."""
-    items = {"piano_1": [1, 0, 0.1], "piano_2": [0.9, 0.1, 0.1], "rock_1": [0, 1, 0.6], "rock_2": [0.1, 0.9, 0.7], "dance_1": [0.1, 0.4, 1], "dance_2": [0, 0.3, 0.9]}
-    plays = {1: {"piano_1": 12, "rock_1": 4, "piano_2": 9}, 2: {"piano_1": 8, "piano_2": 10, "dance_1": 2}, 3: {"rock_1": 11, "rock_2": 9, "dance_2": 3}, 4: {"dance_1": 10, "dance_2": 12, "rock_2": 2}}
-    rows = spark.createDataFrame([(u, i, float(c)) for u, own in plays.items() for i, c in own.items()], "user_id int, item_id string, play_count double")
-    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in items.items()], "item_id string, features array<double>")
+def run_content(train: DataFrame, truth: DataFrame, vectors: DataFrame, options: dict | None = None, k: int = 20) -> list[dict]:
+    return run_grid(grid(**(options or CONTENT_GRID)), lambda alpha: M.recommend_content(train, vectors, k, alpha), train, truth, vectors.select("item_id"))
+
+
+def run_multi_interest(train: DataFrame, truth: DataFrame, vectors: DataFrame, options: dict | None = None, k: int = 20, seed: int = 311) -> list[dict]:
+    """The catalog is clustered once for each number of clusters."""
+    options = options or MULTI_GRID
+    labels = {n: checkpointed(M.catalog_clusters(vectors, n, seed)) for n in options["clusters"]}
+
+    def recommend(alpha, global_weight, clusters):
+        return M.top_k_unseen(M.multi_interest_scores(train, vectors, labels[clusters], alpha, global_weight), train, k)
+
+    return run_grid(grid(**options), recommend, train, truth, vectors.select("item_id"))
+
+
+def run_baselines(train: DataFrame, truth: DataFrame, popularity: DataFrame, k_values=(10, 20), seed: int = 42) -> list[dict]:
+    """Metrics of global popularity, history-matched popularity and random lists, in this order."""
+    k, users = max(k_values), truth.select("user_id").distinct()
+    models = {
+        "popularity": lambda: M.recommend_popular(train, users, k),
+        "history_popularity": lambda: M.recommend_history_popularity(train, users, popularity, k),
+        "random": lambda: M.recommend_random(train, users, k, seed),
+    }
+    return [run_grid([{}], make, train, truth, train, k_values)[0] | {"model": name} for name, make in models.items()]
+
+
+def country_rows(rows: DataFrame, users: DataFrame, country: str = "United States", fraction: float = 1.0, seed: int = 42) -> DataFrame:
+    """Rows of a hash sample of a country's users, for the runs on one country."""
+    return rows.join(country_sample(users, country, fraction, seed).select("user_id"), "user_id", "left_semi")
+
+
+def demo(spark: SparkSession, seed: int = 8) -> dict[str, dict]:
+    """Six models on a small generated catalog of two tastes: recall and NDCG at 2."""
+    rng = random.Random(seed)
+    tastes = {"calm": (0.9, 0.2), "loud": (0.1, 0.8)}
+    items = {f"{taste}{n}": [x + rng.uniform(0, 0.1) for x in middle] for taste, middle in tastes.items() for n in range(5)}
+    plays = [(u, i, float(rng.randint(1, 30))) for u in range(1, 9) for i in rng.sample(sorted(items), 8) if i.startswith("calm") == (u % 2 == 0) or rng.random() < 0.3]
+    rows = spark.createDataFrame(plays, "user_id int, item_id string, play_count double")
+    vectors = spark.createDataFrame(list(items.items()), "item_id string, features array<double>")
     train, truth = leave_largest_out(rows, 3, 1)
     users = train.select("user_id").distinct()
     similar = M.item_neighbours(train)
     cf, content = M.neighbour_scores(train, similar), M.content_scores(M.content_profiles(train, vectors), vectors)
-    labels = M.catalog_clusters(vectors, 3)
     lists = {
-        "popularity": M.top_k_unseen(users.crossJoin(M.popularity_scores(train)), train, 2),
+        "popularity": M.recommend_popular(train, users, 2),
         "item_knn": M.recommend_neighbours(train, similar, 2),
         "mf": M.top_k_unseen(sgd_factors(train), train, 2),
         "content": M.recommend_content(train, vectors, 2),
-        "multi_interest": M.top_k_unseen(M.multi_interest_scores(train, vectors, labels), train, 2),
+        "multi_interest": M.top_k_unseen(M.multi_interest_scores(train, vectors, M.catalog_clusters(vectors, 2)), train, 2),
         "hybrid": M.top_k_unseen(M.hybrid_sparse(cf, content), train, 2),
     }
     return {name: single_truth_metrics(recs, truth, 2).first().asDict() for name, recs in lists.items()}
