@@ -22,6 +22,7 @@ from cadenza.operators import models as M
 from cadenza.operators import splits as S
 from cadenza.operators.factorization import ImplicitALS, recommend_sgd
 from cadenza.plans import fixtures as fx
+from cadenza.plans import layout as L
 from cadenza.plans.experiment import experiment_violations
 from cadenza.plans.runners import run_grid
 from cadenza.session import checkpointed
@@ -135,7 +136,7 @@ SQL_MEMBERS = SQL_ARTISTS + """, marked AS (SELECT t.*, coalesce(p.artist_name_n
   LEFT JOIN (SELECT track_id, min(artist_name_norm) AS artist_name_norm FROM artists WHERE artist_order = 1 GROUP BY track_id) p USING (track_id)),
 members AS (SELECT *, count(*) OVER (PARTITION BY feature_cluster_id) AS member_count, row_number() OVER (PARTITION BY feature_cluster_id ORDER BY popularity DESC NULLS LAST, track_id) AS member_rank
   FROM (SELECT *, sha256(concat_ws('|', track_name_norm, primary_artist_norm, %s)) AS feature_cluster_id FROM marked))""" % ", ".join(
-    f"coalesce({f'CAST({c} AS DECIMAL(20,6))' if c in _DOUBLES else c}::VARCHAR, '~')" for c in FINGERPRINT
+    f"coalesce({f'CAST({c} AS DECIMAL(30,15))' if c in _DOUBLES else c}::VARCHAR, '~')" for c in FINGERPRINT
 )
 SQL_INTERACTIONS = f"inter AS ({fx.INTERACTIONS})"
 SQL_SPLIT = SQL_INTERACTIONS + """, sized AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY sha256(concat_ws(':', 42, user_id, item_id)), item_id) AS place FROM inter),
@@ -146,10 +147,10 @@ SQL_BM25 = """, lens AS (SELECT user_id, sum(c) AS len FROM conf GROUP BY user_i
 bm AS (SELECT user_id, item_id, ln(1 + u / (1 + df)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len / mean)) AS c FROM conf JOIN lens USING (user_id) JOIN df USING (item_id), whole)"""
 
 
-def _sql_knn(weights: str, least: int = 2) -> str:
+def _sql_knn(weights: str, least: int = 2, n: int = NEIGHBOURS) -> str:
     return f""", nrm AS (SELECT item_id, sqrt(sum(c * c)) AS nn FROM {weights} GROUP BY item_id), unit AS (SELECT user_id, item_id, c / nn AS x FROM {weights} JOIN nrm USING (item_id)),
 sims AS (SELECT a.item_id, b.item_id AS other_id, sum(a.x * b.x) AS similarity FROM unit a JOIN unit b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY ALL HAVING count(*) >= {least}),
-knn AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, other_id) AS rank FROM sims QUALIFY rank <= {NEIGHBOURS})"""
+knn AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, other_id) AS rank FROM sims QUALIFY rank <= {n})"""
 
 
 SQL_CF = """, cf AS (SELECT user_id, other_id AS item_id, sum(c * similarity) AS score FROM conf JOIN knn USING (item_id) GROUP BY user_id, other_id)"""
@@ -294,11 +295,99 @@ def review_sample(spark, sf):
     return A.review_sample(rows, 100, "track_name_norm", "artist_name_norm", "spotify_track_id")
 
 
-@query(f"WITH {SQL_TRACKS} SELECT t.track_id, t.popularity, list(g.track_genre ORDER BY g.track_genre) AS genres FROM tracks t JOIN (SELECT DISTINCT track_id, track_genre FROM staged WHERE track_genre <> '') g USING (track_id) GROUP BY ALL ORDER BY t.popularity DESC, t.track_id LIMIT 50")
+@query(f"WITH {SQL_TRACKS} SELECT t.track_id, t.popularity, list(g.track_genre ORDER BY g.track_genre) FILTER (WHERE g.track_genre IS NOT NULL) AS genres FROM tracks t LEFT JOIN (SELECT DISTINCT track_id, track_genre FROM staged WHERE track_genre <> '') g USING (track_id) GROUP BY ALL ORDER BY t.popularity DESC, t.track_id LIMIT 50")
 def list_genres_example(spark, sf):
     tracks, genres = _tracks(spark, sf), genre_bridge(spark, sf)
     lists = genres.groupBy("track_id").agg(F.sort_array(F.collect_list("track_genre")).alias("genres"))
-    return tracks.select("track_id", "popularity").join(lists, "track_id").select("track_id", "popularity", "genres").orderBy(F.desc("popularity"), "track_id").limit(50)
+    return tracks.select("track_id", "popularity").join(lists, "track_id", "left").select("track_id", "popularity", "genres").orderBy(F.desc("popularity"), "track_id").limit(50)
+
+
+SQL_CLUSTERED = SQL_DECISIONS + ", " + SQL_MEMBERS.replace(SQL_ARTISTS + ", ", "", 1) + """, lifted AS (SELECT track_name_norm, artist_name_norm, feature_cluster_id, count(DISTINCT spotify_track_id) AS spotify_id_count FROM candidates JOIN (SELECT track_id AS spotify_track_id, feature_cluster_id FROM members) USING (spotify_track_id) GROUP BY ALL),
+cdecisions AS (SELECT k.track_name_norm, k.artist_name_norm, count(feature_cluster_id) AS candidate_count, CASE count(feature_cluster_id) WHEN 1 THEN 'accepted' WHEN 0 THEN 'rejected' ELSE 'ambiguous' END AS decision, CASE WHEN count(feature_cluster_id) = 1 THEN min(feature_cluster_id) END AS accepted_id
+  FROM keys k LEFT JOIN lifted l ON k.track_name_norm = l.track_name_norm AND k.artist_name_norm = l.artist_name_norm GROUP BY ALL),
+cinter AS (SELECT user_id, accepted_id AS feature_cluster_id, max(playcount) AS playcount_raw, 1::BIGINT AS preference, round(1 + ln(1 + max(playcount)), 6) AS confidence_log, min(source_rank) AS source_rank,
+  count(DISTINCT struct_pack(a := track_name_norm, b := artist_name_norm)) AS merged_listening_key_count FROM listening JOIN cdecisions USING (track_name_norm, artist_name_norm) WHERE decision = 'accepted' GROUP BY user_id, accepted_id)"""
+_KEY_HASH = "sha256(concat_ws(':', track_name_norm, artist_name_norm)), track_name_norm, artist_name_norm"
+_BLANK = ", ".join(f"'' AS {c}" for c in ("review_action", "review_reason", "reviewer"))
+
+
+def _clustered(spark, sf):
+    """(keys, candidates, tracks, members, lifted candidates, decisions) at the level of clusters; listening is cleaned once."""
+    tracks = checkpointed(_tracks(spark, sf))
+    listening = checkpointed(_listening(spark, sf))
+    keys, artists = C.listening_keys(listening), C.track_artists(tracks)
+    members = A.fingerprint_members(tracks, artists, FINGERPRINT)
+    lifted = A.cluster_candidates(A.match_candidates(keys, tracks, artists), members)
+    return listening, keys, tracks, members, lifted, A.decide(keys, lifted, "feature_cluster_id")
+
+
+@query(f"WITH {SQL_CLUSTERED} SELECT track_name_norm, artist_name_norm, accepted_id, spotify_id_count FROM cdecisions d JOIN lifted l USING (track_name_norm, artist_name_norm) WHERE decision = 'accepted'")
+def cluster_crosswalk(spark, sf):
+    *_, lifted, decisions = _clustered(spark, sf)
+    return A.crosswalk(decisions).join(lifted.drop("feature_cluster_id"), ["track_name_norm", "artist_name_norm"])
+
+
+@query(f"WITH {SQL_CLUSTERED} SELECT * FROM cinter")
+def cluster_interactions(spark, sf):
+    listening, *_, decisions = _clustered(spark, sf)
+    return rounded(A.integrated_interactions(listening, A.crosswalk(decisions), "feature_cluster_id"), "confidence_log")
+
+
+@query(f"""WITH {SQL_DECISIONS}, picked AS (SELECT * FROM decisions WHERE decision = 'ambiguous' ORDER BY {_KEY_HASH} LIMIT 100)
+SELECT k.representative_track_name AS listening_track, k.representative_artist_name AS listening_artist, c.spotify_track_id, t.track_name AS spotify_track, t.artists AS spotify_artists, t.album_name AS spotify_album,
+  (SELECT string_agg(DISTINCT g.track_genre, '; ' ORDER BY g.track_genre) FROM staged g WHERE g.track_id = t.track_id AND g.track_genre <> '') AS spotify_genres, t.duration_ms, t.popularity, p.candidate_count, 'tier_a_exact' AS match_tier, {_BLANK}, '' AS selected_spotify_track_id
+FROM picked p JOIN candidates c USING (track_name_norm, artist_name_norm) JOIN keys k USING (track_name_norm, artist_name_norm) JOIN tracks t ON t.track_id = c.spotify_track_id""")
+def ambiguous_review(spark, sf):
+    tracks = _tracks(spark, sf)
+    keys = C.listening_keys(_listening(spark, sf))
+    candidates = A.match_candidates(keys, tracks, C.track_artists(tracks))
+    return A.ambiguous_review(A.decide(keys, candidates, "spotify_track_id"), candidates, keys, tracks, genre_bridge(spark, sf))
+
+
+@query(f"""WITH {SQL_CLUSTERED}, picked AS (SELECT * FROM cdecisions WHERE decision = 'ambiguous' ORDER BY {_KEY_HASH} LIMIT 100)
+SELECT k.representative_track_name AS listening_track, k.representative_artist_name AS listening_artist, p.candidate_count AS feature_cluster_count, feature_cluster_id, l.spotify_id_count AS ids_in_this_cluster, m.track_id AS canonical_track_id,
+  m.track_name AS canonical_spotify_track, m.artists AS canonical_spotify_artists, (SELECT string_agg(DISTINCT a.album_name, '; ' ORDER BY a.album_name) FROM members a WHERE a.feature_cluster_id = m.feature_cluster_id) AS member_albums,
+  m.duration_ms, m.popularity AS canonical_popularity, {_BLANK}, '' AS selected_feature_cluster_id
+FROM picked p JOIN lifted l USING (track_name_norm, artist_name_norm) JOIN keys k USING (track_name_norm, artist_name_norm) JOIN (SELECT * FROM members WHERE member_rank = 1) m USING (feature_cluster_id)""")
+def cluster_review(spark, sf):
+    _, keys, tracks, members, lifted, decisions = _clustered(spark, sf)
+    return A.cluster_review(decisions, lifted, keys, tracks, members)
+
+
+def _sql_audit(run_id, candidates, decisions, inter, entity):
+    counts = {"listening_keys": "count(*) FROM keys", "candidate_rows": f"count(*) FROM {candidates}", "integrated_interactions": f"count(*) FROM {inter}", "integrated_users": f"count(DISTINCT user_id) FROM {inter}", "integrated_items": f"count(DISTINCT {entity}) FROM {inter}", "interactions_merging_several_keys": f"count(*) FROM {inter} WHERE merged_listening_key_count > 1"}
+    counts |= {n: f"count(*) FROM {decisions} WHERE decision = '{d}'" for n, d in (("accepted_keys", "accepted"), ("ambiguous_keys", "ambiguous"), ("unmatched_keys", "rejected"))}
+    counts |= {f"users_with_{k}_plus": f"count(*) FROM (SELECT user_id FROM {inter} GROUP BY user_id HAVING count(*) >= {k})" for k in (5, 10, 20)}
+    return " UNION ALL ".join(f"SELECT '{run_id}' AS run_id, '{m}' AS metric, (SELECT {c})::DOUBLE AS value, true AS recorded" for m, c in counts.items())
+
+
+def _recorded(audit: DataFrame) -> DataFrame:
+    """An audit with the fact of its time instead of the time."""
+    return audit.select("run_id", "metric", "value", F.col("recorded_at").isNotNull().alias("recorded"))
+
+
+@query(f"""WITH {SQL_DECISIONS}, inter AS (SELECT user_id, accepted_id AS spotify_track_id, count(DISTINCT struct_pack(a := track_name_norm, b := artist_name_norm)) AS merged_listening_key_count FROM listening JOIN decisions USING (track_name_norm, artist_name_norm) WHERE decision = 'accepted' GROUP BY ALL)
+{_sql_audit('exact_v1', 'candidates', 'decisions', 'inter', 'spotify_track_id')}""")
+def match_audit(spark, sf):
+    tracks, listening = _tracks(spark, sf), checkpointed(_listening(spark, sf))
+    keys = C.listening_keys(listening)
+    candidates = A.match_candidates(keys, tracks, C.track_artists(tracks))
+    decisions = A.decide(keys, candidates, "spotify_track_id")
+    return _recorded(A.integration_audit("exact_v1", keys, candidates, decisions, A.integrated_interactions(listening, A.crosswalk(decisions), "spotify_track_id"), "spotify_track_id"))
+
+
+@query(f"WITH {SQL_CLUSTERED} {_sql_audit('feature_cluster_v1', 'lifted', 'cdecisions', 'cinter', 'feature_cluster_id')}")
+def cluster_audit(spark, sf):
+    listening, keys, _, _, lifted, decisions = _clustered(spark, sf)
+    return _recorded(A.integration_audit("feature_cluster_v1", keys, lifted, decisions, A.integrated_interactions(listening, A.crosswalk(decisions), "feature_cluster_id"), "feature_cluster_id"))
+
+
+@query(f"WITH {SQL_MEMBERS}, wide AS (SELECT DISTINCT feature_cluster_id, coalesce(track_genre, '~') AS genre FROM members) SELECT count(*) AS clusters, (SELECT count(*) FROM members) AS tracks FROM wide")
+def genre_fingerprints(spark, sf):
+    """The second version of the fingerprint, in which the canonical row's genre takes part: clusters and tracks."""
+    tracks = _tracks(spark, sf)
+    members = A.fingerprint_members(tracks, C.track_artists(tracks), [*FINGERPRINT, "track_genre"])
+    return members.agg(F.count_distinct("feature_cluster_id").alias("clusters"), F.count("*").alias("tracks"))
 
 
 @query(f"WITH {SQL_ARTISTS} SELECT 'track_id' AS column_name, (SELECT count(*) FROM tracks) AS n, (SELECT count(*) FROM artists a WHERE NOT EXISTS (SELECT 1 FROM tracks t WHERE t.track_id = a.track_id)) AS orphans, (SELECT count(*) FROM tracks WHERE tempo IS NULL) AS null_tempo")
@@ -332,9 +421,12 @@ def kcore(spark, sf):
 
 
 @query(_sql_core(5, 2, 4) + """ SELECT 'retained_rows' AS metric, count(*)::DOUBLE AS value FROM g4 UNION ALL SELECT 'retained_users', count(DISTINCT user_id) FROM g4 UNION ALL SELECT 'retained_items', count(DISTINCT item_id) FROM g4
-UNION ALL SELECT 'min_user_degree', min(n) FROM (SELECT count(*) AS n FROM g4 GROUP BY user_id) UNION ALL SELECT 'min_item_degree', min(n) FROM (SELECT count(*) AS n FROM g4 GROUP BY item_id)""")
+UNION ALL SELECT 'min_user_degree', min(n) FROM (SELECT count(*) AS n FROM g4 GROUP BY user_id) UNION ALL SELECT 'min_item_degree', min(n) FROM (SELECT count(*) AS n FROM g4 GROUP BY item_id)
+UNION ALL SELECT 'iteration_count', """ + " + ".join(f"((SELECT count(*) FROM g{i}) <> (SELECT count(*) FROM g{i + 1}))::INT" for i in range(4)))
 def kcore_audit(spark, sf):
-    return G.core_audit(G.degree_core(_interactions(spark, sf))).where("metric <> 'iteration_count'")
+    core = G.degree_core(_interactions(spark, sf))
+    G.require_core(core.edges, 5, 2)
+    return G.core_audit(core)
 
 
 @query(f"WITH {SQL_SPLIT} SELECT user_id, item_id, split FROM assigned")
@@ -342,13 +434,24 @@ def split3(spark, sf):
     return _split(spark, sf).select("user_id", "item_id", "split")
 
 
-@query("SELECT unnest(['missing_rows', 'extra_rows', 'repeated_rows', 'eligible_users_without_a_part', 'sparse_users_held_out']) AS check_name, 0::BIGINT AS violations")
+@query(f"""WITH {SQL_SPLIT}, faulty AS (SELECT user_id, CASE WHEN item_id % 41 = 1 THEN -item_id ELSE item_id END AS item_id, CASE WHEN user_id % 7 = 1 AND split = 'test' THEN 'train' WHEN user_id % 5 = 0 THEN 'validation' ELSE split END AS split FROM assigned WHERE item_id % 43 <> 2
+  UNION ALL SELECT user_id, item_id, split FROM assigned WHERE item_id % 47 = 3 AND item_id % 43 <> 2 AND item_id % 41 <> 1),
+u AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'validation') AS b, count(*) FILTER (WHERE split = 'test') AS c FROM faulty GROUP BY user_id)
+SELECT 'missing_rows' AS check_name, count(*) AS violations FROM inter i WHERE NOT EXISTS (SELECT 1 FROM faulty f WHERE f.user_id = i.user_id AND f.item_id = i.item_id)
+UNION ALL SELECT 'extra_rows', count(*) FROM faulty WHERE item_id < 0 UNION ALL SELECT 'repeated_rows', count(*) FROM (SELECT 1 FROM faulty GROUP BY user_id, item_id HAVING count(*) > 1)
+UNION ALL SELECT 'eligible_users_without_a_part', count(*) FROM u WHERE n >= 20 AND (a = 0 OR b = 0 OR c = 0) UNION ALL SELECT 'sparse_users_held_out', count(*) FROM u WHERE n < 20 AND a < n""")
 def split_integrity(spark, sf):
-    return S.split_integrity(_interactions(spark, sf), _split(spark, sf))
+    """The checks on an assignment with known faults: rows missing, extra, repeated, and users without a part."""
+    good = checkpointed(_split(spark, sf).select("user_id", "item_id", "split"))
+    kept = good.where("item_id % 43 <> 2")
+    part = F.when((F.col("user_id") % 7 == 1) & (F.col("split") == "test"), "train").when(F.col("user_id") % 5 == 0, "validation").otherwise(F.col("split"))
+    faulty = kept.select("user_id", F.when(F.col("item_id") % 41 == 1, -F.col("item_id")).otherwise(F.col("item_id")).alias("item_id"), part.alias("split"))
+    return S.split_integrity(_interactions(spark, sf), faulty.union(kept.where("item_id % 47 = 3 and item_id % 41 <> 1")))
 
 
 @query(f"""WITH {SQL_SPLIT} SELECT split || '_rows' AS metric, count(*) AS value FROM assigned GROUP BY split UNION ALL SELECT 'evaluation_users', count(DISTINCT user_id) FROM truth
-UNION ALL SELECT 'train_users', count(DISTINCT user_id) FROM train UNION ALL SELECT 'train_items', count(DISTINCT item_id) FROM train""")
+UNION ALL SELECT 'train_users', count(DISTINCT user_id) FROM train UNION ALL SELECT 'train_items', count(DISTINCT item_id) FROM train
+UNION ALL SELECT 'held_out_rows_absent_from_train', count(*) FROM assigned WHERE split <> 'train' AND item_id NOT IN (SELECT item_id FROM train) UNION ALL SELECT 'duplicate_assignments', count(*) - count(DISTINCT (user_id, item_id)) FROM assigned""")
 def split_audit(spark, sf):
     return S.split_audit(_split(spark, sf))
 
@@ -408,9 +511,29 @@ def feature_matrix(spark, sf):
     return rounded(X.feature_matrix(items, X.scaler(items, CONTINUOUS), CONTINUOUS, ["explicit"], HOTS), *[f"{c}_z" for c in CONTINUOUS])
 
 
-@query("SELECT unnest(['repeated_ids', 'null_cells', 'bad_key']) AS check_name, 0::BIGINT AS violations")
+_Z = ", ".join(f"round((coalesce({c}, {c}_m) - {c}_m) / {c}_s, 6) + 0.0 AS {c}_z" for c in L.CONTINUOUS)
+_HOT = ", ".join([*(f"coalesce(key = {k}, false)::INT AS key_{k}" for k in L.KEYS), "(key IS NULL OR key NOT BETWEEN 0 AND 11)::INT AS key_unknown", *(f"coalesce(time_signature = {k}, false)::INT AS time_signature_{k}" for k in L.TIME_SIGNATURES), "(time_signature IS NULL OR time_signature NOT BETWEEN 3 AND 5)::INT AS time_signature_other"])
+
+
+@query(f"WITH {SQL_TRACKS}, fit AS (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s' for c in L.CONTINUOUS)} FROM tracks) SELECT track_id AS item_id, {_Z}, coalesce(explicit::INT, 0) AS explicit, coalesce(mode, 0)::INT AS mode, {_HOT} FROM tracks, fit")
+def audio_matrix(spark, sf):
+    """The experiments' 29 columns over the canonical tracks."""
+    items = checkpointed(_tracks(spark, sf).withColumnRenamed("track_id", "item_id"))
+    return rounded(X.feature_matrix(items, X.scaler(items, L.CONTINUOUS), L.CONTINUOUS, L.BINARY, L.layout()), *[f"{c}_z" for c in L.CONTINUOUS])
+
+
+@query("WITH " + SQL_ITEMS + """, broken AS (SELECT item_id, size, key, 1 AS n FROM items UNION ALL SELECT item_id, size, key, 2 FROM items WHERE item_id % 31 = 0)
+SELECT 'repeated_ids' AS check_name, count(*) - count(DISTINCT item_id) AS violations FROM broken UNION ALL SELECT 'null_cells', count(*) FILTER (WHERE size IS NULL) FROM broken
+UNION ALL SELECT 'bad_key', count(*) FILTER (WHERE key = 5 OR key = 7 AND n = 2) FROM broken""")
 def feature_validation(spark, sf):
-    return X.validate_matrix(feature_matrix(spark, sf), {"key": [f"key_{k}" for k in [*KEYS, "unknown"]]})
+    """Validation of a matrix with known faults: repeated items, unfilled cells, a missing and a double flag."""
+    items = _items(spark, sf)
+    faulty = items.withColumn("n", F.lit(1)).union(items.where("item_id % 31 = 0").withColumn("n", F.lit(2)))
+    flags = X.one_hot("key", KEYS, "key", "unknown")
+    flags["key_5"] = F.lit(0)
+    flags["key_8"] = flags["key_8"] + F.coalesce((F.col("key") == 7) & (F.col("n") == 2), F.lit(False)).cast("int")
+    matrix = faulty.select("item_id", "size", *[c.alias(n) for n, c in flags.items()])
+    return X.validate_matrix(matrix, {"key": [f"key_{k}" for k in [*KEYS, "unknown"]]})
 
 
 @query("WITH " + SQL_ITEMS + " SELECT genre, count(*) AS items FROM items GROUP BY genre")
@@ -604,7 +727,12 @@ def cluster_weights(spark, sf):
     return rounded(M.cluster_weights(_train(spark, sf), fx.fixture(spark, sf, fx.LABELS)), "weight")
 
 
-@query()
+def _sql_ndcg(n: int, weighting: str) -> str:
+    weights, name = ("", "conf") if weighting == "cosine" else (SQL_BM25, "bm")
+    return f"SELECT {n}::INT AS neighbours, '{weighting}' AS weighting, ndcg FROM (WITH {SQL_SPLIT}{weights}{_sql_knn(name, n=n)}{SQL_CF}, {_sql_top('cf', 20, 'score > 0')}{SQL_EVALUATED}) WHERE k = 20"
+
+
+@query("SELECT *, row_number() OVER (ORDER BY ndcg DESC, neighbours::VARCHAR, weighting)::BIGINT AS place FROM (" + " UNION ALL ".join(_sql_ndcg(n, w) for n in (20, 50) for w in ("cosine", "bm25")) + ")")
 def grid_ranking(spark, sf):
     train, truth = checkpointed(_train(spark, sf)), _truth(spark, sf)
 
@@ -613,7 +741,7 @@ def grid_ranking(spark, sf):
 
     found = run_grid([{"neighbours": n, "weighting": w} for n in (20, 50) for w in ("cosine", "bm25")], recommend, train, truth, train)
     rows = [(r["config"]["neighbours"], r["config"]["weighting"], round(r["metrics"]["ndcg@20"], 6), i + 1) for i, r in enumerate(found)]
-    return spark.createDataFrame(rows, "neighbours int, weighting string, ndcg double, place int")
+    return spark.createDataFrame(rows, "neighbours int, weighting string, ndcg double, place long")
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events FROM events GROUP BY ALL")
@@ -624,7 +752,7 @@ def event_popularity(spark, sf):
 # Results of iterative and seeded algorithms: rows and invariants only
 
 
-@query()
+@query("SELECT p_partkey, trim(regexp_replace(replace(lower(strip_accents(p_name)), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
 def text_key(spark, sf):
     return fx.fixture(spark, sf, "SELECT p_partkey, p_name FROM part").select("p_partkey", ascii_normalized("p_name").alias("key"))
 
