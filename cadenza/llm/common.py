@@ -14,7 +14,7 @@ from cadenza.session import shared_folder, ship
 
 
 #: Bytes of the rows that Spark sends to a Python worker at once, where the session names no bound of its own.
-ARROW_BYTES = 6 << 20
+ARROW_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

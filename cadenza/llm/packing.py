@@ -13,7 +13,7 @@ from cadenza.llm.common import byte_slices
 from cadenza.llm.token_counts import _table
 
 #: Bytes of text whose ids and pieces are held at once.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:

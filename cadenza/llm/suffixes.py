@@ -22,11 +22,11 @@ from cadenza.llm.common import byte_slices, default_parts, discard, stored
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are searched for anchors at once; positions must fit 24 bits.
-SEGMENT = 1 << 20
+SEGMENT = 512 << 10
 #: Stretches with one anchor that are sorted together; larger groups are sorted in several shares.
 GROUP_ROWS = 4096
 #: Stretches that a task sorts at once.
-SORT_ROWS = 8_000
+SORT_ROWS = 4_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (11, 12)]
 
@@ -349,7 +349,7 @@ def _without_repeats(rows: DataFrame, length: int, kept: str | None) -> DataFram
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string() if kept == "string" else pa.binary())] * bool(kept)
 
     def cut(batches):
-        for batch in byte_slices(batches, "__text", 8 << 20):
+        for batch in byte_slices(batches, "__text", 2 << 20):
             out: list[list] = [[] for _ in fields]
             for text, marks_ in zip(batch.column("__text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 text = text or b""

@@ -25,7 +25,7 @@ LEAST_G2 = 24.0
 #: Features of the sample that the fit works on at once.
 BLOCK = 1 << 20
 #: Bytes of text whose n-grams are held at once; a worker's arrays are about fifty times that.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 512 << 10
 
 
 def ngram_buckets(texts: list[str], sizes=SIZES, bits: int = BITS):
