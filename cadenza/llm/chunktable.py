@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: A single space between two characters that are not white space.
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes of chunks and ids that a worker remembers between batches; further ones are encoded in each batch.
-REMEMBERED = 80 << 20
+REMEMBERED = 32 << 20
 
 
 class ChunkTable:
