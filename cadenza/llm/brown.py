@@ -10,6 +10,8 @@ share of the words moves, so that words which stand side by side don't move past
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import byte_slices, default_parts, in_fold, stored
+from cadenza.llm.common import byte_slices, default_parts, free_shuffles, in_fold, stored
 
 #: Words that seed the classes, classes, and sweeps of the first exchange over all its words.
 SEED_WORDS, CLASSES, SWEEPS = 1500, 48, 6
@@ -29,6 +31,8 @@ LEAST_BITS, MOST_BITS = 16, 24
 BLOCK_BYTES = 8 << 20
 #: Slots in a row of a class table.
 CHUNK = 4096
+#: Bits of the place of a class before or after in a packed count; the count has the others.
+STATE_BITS = 16
 #: Additive smoothing of class transitions, and of words in a class.
 TRANSITION, EMISSION = 0.1, 0.5
 #: The end of a text: its word, its class (after the others) and the first state of each text.
@@ -104,12 +108,28 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
 
 
+def _planes(codes: np.ndarray, words: int) -> bytes:
+    """``codes`` below ``words`` by byte, all lowest bytes first: the higher ones are mostly equal and compress."""
+    width = max(1, ((words - 1).bit_length() + 7) // 8)
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+
+
+def _codes(planes, words: int) -> np.ndarray:
+    """The codes that ``_planes`` wrote."""
+    width = max(1, ((words - 1).bit_length() + 7) // 8)
+    parts = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    out = parts[0].astype(np.uint32)
+    for place in range(1, width):
+        out |= parts[place].astype(np.uint32) << np.uint32(8 * place)
+    return out
+
+
 def coded_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, doc_id, held_out, sizes, words, counts, hashes, codes): blocks of neighbouring ``docs(doc_id, held_out, text)``.
 
     A block holds whole texts of about ``block_bytes`` together, a longer text alone. It lists
     its distinct words with their counts in its training documents; ``codes`` are the places
-    of all tokens in that list, an end token after each text.
+    of all tokens in that list by byte, an end token after each text.
     """
 
     def block(name, rows):
@@ -122,8 +142,8 @@ def coded_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         hashes = np.fromiter(map(_hash, words.to_pylist()), np.uint32, len(words))
         one = {
             "block": pa.array([name], pa.int64()), "doc_id": pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())), "held_out": pa.array([held.tolist()], pa.list_(pa.bool_())),
-            "sizes": pa.array([sizes], pa.list_(pa.int64())), "words": pa.ListArray.from_arrays([0, len(words)], words), "counts": pa.array([count], pa.list_(pa.int64())),
-            "hashes": pa.array([hashes.tobytes()], pa.binary()), "codes": pa.array([code.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()], pa.binary()),
+            "sizes": pa.array([sizes], pa.list_(pa.int64())), "words": pa.ListArray.from_arrays([0, len(words)], words), "counts": pa.array([count], pa.list_(pa.int32())),
+            "hashes": pa.array([hashes.tobytes()], pa.binary()), "codes": pa.array([_planes(code, len(words))], pa.binary()),
         }
         return pa.record_batch(list(one.values()), names=list(one))
 
@@ -139,7 +159,7 @@ def coded_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield block(first + made, held)
 
-    spec = "block long, doc_id array<long>, held_out array<boolean>, sizes array<long>, words array<binary>, counts array<long>, hashes binary, codes binary"
+    spec = "block long, doc_id array<long>, held_out array<boolean>, sizes array<long>, words array<binary>, counts array<int>, hashes binary, codes binary"
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, spec)
 
 
@@ -148,8 +168,7 @@ def _tokens_of(batches):
     for batch in batches:
         for row in range(batch.num_rows):
             hashes = np.frombuffer(batch.column("hashes")[row].as_buffer(), np.uint32)
-            raw = batch.column("codes")[row].as_buffer()
-            codes = np.frombuffer(raw, np.uint16 if len(hashes) <= 1 << 16 else np.uint32)
+            codes = _codes(batch.column("codes")[row].as_buffer(), len(hashes))
             yield hashes, codes, batch.column("sizes")[row].values.to_numpy(), batch.column("held_out")[row].values.to_numpy(zero_copy_only=False).astype(bool)
 
 
@@ -258,7 +277,7 @@ def exchange_round(blocks: DataFrame, table: np.ndarray, share: int | None, clas
             total = np.bincount(keys, minlength=len(names) * width)
             used = np.flatnonzero(total)
             cuts = np.searchsorted(used, np.arange(len(names) + 1) * width)
-            packed = (used % width) | total[used] << 16
+            packed = (used % width) | total[used] << STATE_BITS
             for low in range(0, len(names), 100_000):
                 high = min(len(names), low + 100_000)
                 lists = pa.ListArray.from_arrays(pa.array(cuts[low : high + 1] - cuts[low], pa.int32()), pa.array(packed[cuts[low] : cuts[high]]))
@@ -278,7 +297,7 @@ def exchange_round(blocks: DataFrame, table: np.ndarray, share: int | None, clas
                 lists = batch.column("seen").slice(low, high - low)
                 values = lists.flatten().to_numpy()
                 row = np.repeat(batch.column("slot").to_numpy()[low:high] % CHUNK, np.diff(lists.offsets.to_numpy()))
-                np.add.at(sums, (row, values & 0xFFFF), values >> 16)
+                np.add.at(sums, (row, values & (1 << STATE_BITS) - 1), values >> STATE_BITS)
         if here is not None:
             yield settled(here, sums)
 
@@ -310,9 +329,48 @@ def fit_classes(blocks: DataFrame, totals: DataFrame, seeds: int = SEED_WORDS, c
     table = seed_classes(blocks, words, bits, classes)
     for share in (None, *range(SHARES)):
         table = exchange_round(blocks, table, share, classes, parts)
+        gc.collect()  # the round's frames, whose shuffles can then go
+        free_shuffles(blocks.sparkSession)
     return table
 
 
+def repeated_slots(totals: DataFrame, slots: int) -> np.ndarray:
+    """Whether a word of each of ``slots`` (a power of two) is listed by more than one block and has training tokens; ``totals`` has (w, c, n).
+
+    It is collected as bitmaps, a bit a slot.
+    """
+
+    def place(batches):
+        for batch in batches:
+            hashes = np.fromiter(map(_hash, batch.column("w").to_pylist()), np.int64, batch.num_rows)
+            yield pa.record_batch([pa.array(np.unique(hashes & slots - 1) + 1)], names=["p"])
+
+    out = np.zeros(slots, bool)
+    placed = totals.where("n > 1 and c > 0").select("w").mapInArrow(place, "p long")
+    for r in placed.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toLocalIterator():
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        first = (r.b - 1) * len(bits)
+        out[first : first + len(bits)] = bits[: slots - first]
+    return out
+
+
+def listed_words(blocks: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """(home, i, w, own): the words of each block whose slot is ``repeated``, and their counts there."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column("hashes")[row].as_buffer(), np.uint32)
+                at = np.flatnonzero(repeated[hashes & np.uint32(len(repeated) - 1)])
+                words, counts = batch.column("words")[row].values.take(pa.array(at)), batch.column("counts")[row].values.to_numpy()[at]
+                for low in range(0, len(at), 100_000):
+                    part = slice(low, low + 100_000)
+                    home = pa.array(np.full(len(at[part]), batch.column("block")[row].as_py(), np.int64))
+                    yield pa.record_batch([home, pa.array(at[part].astype(np.int32)), words[part], pa.array(counts[part])], names=["home", "i", "w", "own"])
+
+    return blocks.select("block", "words", "counts", "hashes").mapInArrow(run, "home long, i int, w binary, own int")
+
+
 def _by_state(totals: DataFrame, table: np.ndarray, classes: int) -> tuple[np.ndarray, int]:
     """(distinct words by state, all tokens) of the training documents."""
 
@@ -334,9 +392,10 @@ def score_documents(docs: DataFrame, seeds: int = SEED_WORDS, classes: int = CLA
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs(doc_id, text, held_out)``.
 
     The corpus is written once as blocks of coded texts with their lists of words. A row
-    for each word of a block, not one for each token, meets the word's count in the corpus
-    and goes back to its block, so no task holds more than a block and its words. Rounds
-    of the exchange read the codes alone.
+    for each word of a block, not one for each token, is counted. A word that one block alone
+    lists has its count there; the others meet their counts in the corpus, and those which
+    differ from the block's go back to it, so no task holds more than a block and its words.
+    Rounds of the exchange read the codes alone.
 
     Unknown words, and known ones that never had a neighbour with a class, share the last state.
     Probabilities are smoothed, so each text has a finite score. A null text is empty: one
@@ -345,8 +404,10 @@ def score_documents(docs: DataFrame, seeds: int = SEED_WORDS, classes: int = CLA
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = stored(coded_blocks(rows, block_bytes), "brown-blocks")
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "i", F.col("x.words").alias("w"), F.col("x.counts").alias("c"))
-    totals = stored(listed.where("c > 0").groupBy("w").agg(F.sum("c").alias("c")), "brown-words")
+    listed = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("w"), F.col("x.counts").alias("c"))
+    every = stored(listed.groupBy("w").agg(F.sum("c").alias("c"), F.count("*").alias("n")).where("c > 0"), "brown-words")
+    totals = every.select("w", "c")
+    free_shuffles(docs.sparkSession)
     table = fit_classes(blocks, totals, seeds, classes)
     pairs = transitions(blocks, table, classes)
     home, n = _by_state(totals, table, classes)
@@ -358,7 +419,7 @@ def score_documents(docs: DataFrame, seeds: int = SEED_WORDS, classes: int = CLA
     def score(block: pa.Table, counts: pa.Table) -> pa.Table:
         out = []
         for hashes, codes, sizes, _ in _tokens_of(block.to_batches()):
-            c = np.zeros(len(hashes), np.int64)
+            c = block["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)  # a group is one block
             c[counts["i"].to_numpy()] = counts["c"].to_numpy()
             state = np.where(c > 0, _states(table, hashes, classes), classes + 1)
             state[hashes == _hash(END)] = classes
@@ -371,8 +432,9 @@ def score_documents(docs: DataFrame, seeds: int = SEED_WORDS, classes: int = CLA
         flat = [block[name].combine_chunks().flatten() for name in ("doc_id", "held_out", "sizes")]
         return pa.table([*flat, *map(pa.array, out)], names=["doc_id", "held_out", "n_tokens", "n_known", "sum_log", "steps"])
 
-    known = listed.join(totals.withColumnRenamed("c", "total"), "w").select(F.col("block").alias("home"), F.col("i").cast("long").alias("i"), F.col("total").alias("c"))
-    coded = blocks.select("block", "doc_id", "held_out", "sizes", "hashes", "codes")
+    repeated = repeated_slots(every, len(table))
+    known = listed_words(blocks, repeated).join(every.where("n > 1").select("w", "c"), "w").where("c <> own").select("home", "i", "c")
+    coded = blocks.select("block", "doc_id", "held_out", "sizes", "hashes", "codes", "counts")
     scored = coded.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, steps double")
     base = F.col("sum_log") - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("sum_log") + F.col("steps")).alias("score"))
