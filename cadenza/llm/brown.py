@@ -28,7 +28,7 @@ SHARES = 2
 #: Class tables have a slot for each hash of so many bits; words that share a slot share a class.
 LEAST_BITS, MOST_BITS = 16, 24
 #: Bytes of text in a block, whose words are listed once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Slots in a row of a class table.
 CHUNK = 4096
 #: Bits of the place of a class before or after in a packed count; the count has the others.
