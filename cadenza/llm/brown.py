@@ -29,6 +29,8 @@ SHARES = 2
 LEAST_BITS, MOST_BITS = 16, 24
 #: Bytes of text in a block, whose words are listed once.
 BLOCK_BYTES = 16 << 20
+#: Words of a block whose neighbours are counted at once, in a dense table.
+COUNTED = 32_768
 #: Slots in a row of a class table.
 CHUNK = 4096
 #: Bits of the place of a class before or after in a packed count; the count has the others.
@@ -133,9 +135,8 @@ def coded_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
 
     def block(name, rows):
-        lists = [[*tokens(t), END] for _, _, t in rows]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
+        sizes = np.fromiter((len(ws) for _, _, ws in rows), np.int64, len(rows))
+        flat = pa.concat_arrays([ws for _, _, ws in rows]).dictionary_encode()
         code, words = flat.indices.to_numpy(), flat.dictionary
         held = np.array([h for _, h, _ in rows], bool)
         count = np.bincount(code[~np.repeat(held, sizes)], minlength=len(words))
@@ -150,7 +151,8 @@ def coded_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches):
         first, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in byte_slices(batches, "text", block_bytes):
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True))
+            texts = (pa.array([*tokens(t.as_py()), END], pa.binary()) for t in batch.column("text").cast(pa.binary()))  # Python's words of one text at once
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out")), texts, strict=True))
             own = batch.column("text").nbytes
             if held and size + own > block_bytes:
                 yield block(first + made, held)
@@ -274,15 +276,15 @@ def exchange_round(blocks: DataFrame, table: np.ndarray, share: int | None, clas
             left, right = _before(state, ends, classes)[own], state[own + 1]  # a word is never the last token
             keys = np.concatenate([local[codes[own]] * width + left, local[codes[own]] * width + cells + right])
             keys = keys[np.concatenate([left, right]) <= classes]  # neighbours without a class tell nothing
-            total = np.bincount(keys, minlength=len(names) * width)
-            used = np.flatnonzero(total)
-            cuts = np.searchsorted(used, np.arange(len(names) + 1) * width)
-            packed = (used % width) | total[used] << STATE_BITS
-            for low in range(0, len(names), 100_000):
-                high = min(len(names), low + 100_000)
-                lists = pa.ListArray.from_arrays(pa.array(cuts[low : high + 1] - cuts[low], pa.int32()), pa.array(packed[cuts[low] : cuts[high]]))
+            for low in range(0, len(names), COUNTED):  # a dense table of these words alone
+                high = min(len(names), low + COUNTED)
+                total = np.bincount(keys[(keys >= low * width) & (keys < high * width)] - low * width, minlength=(high - low) * width)
+                used = np.flatnonzero(total)
+                cuts = np.searchsorted(used, np.arange(high - low + 1) * width)
+                packed = (used % width) | total[used] << STATE_BITS
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(packed))
                 rows = pa.record_batch([pa.array(names[low:high] // CHUNK, pa.int32()), pa.array(names[low:high], pa.int32()), lists], names=["chunk", "slot", "seen"])
-                yield rows.filter(pa.array(np.diff(cuts[low : high + 1]) > 0))
+                yield rows.filter(pa.array(np.diff(cuts) > 0))
 
     def decide(batches):
         here, sums = None, None
