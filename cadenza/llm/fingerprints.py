@@ -12,6 +12,8 @@ from cadenza.llm.common import default_parts, stored
 BITS = 64
 #: Bits in which near fingerprints may differ.
 RADIUS = 3
+#: Shares of one fingerprint's rows where they meet the result of its search.
+SALTS = 16
 #: Stands for a null id in keys and order: before all others.
 NO_ID = -(1 << 63)
 
@@ -171,4 +173,9 @@ def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
     pairs = search_fingerprints(asked.select(bits.alias("fingerprint")), found.select(bits.alias("fingerprint")))
     near = pairs.groupBy("a").agg(F.count("*").alias("n")).select(as_hex("a").alias("fingerprint"), "n")
     counts = asked.join(near, "fingerprint", "left").select("fingerprint", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return found.join(counts, "fingerprint", "left").select(*found.columns, F.when(F.col("doc_id") % 50 == 0, F.col("n")).alias("n_near"))
+    # Only the rows asked for meet their counts, dealt by salt as one fingerprint may have very many rows.
+    is_asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    salted = found.where(is_asked).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("long")))
+    counted = salted.join(counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["fingerprint", "salt"])
+    rest = found.where(~is_asked).select(*found.columns, F.lit(None).cast("long").alias("n_near"))
+    return counted.select(*found.columns, F.col("n").alias("n_near")).unionByName(rest)
