@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import byte_slices, components, default_parts, discard, stored
+from cadenza.llm.common import byte_slices, components, default_parts, discard, free_shuffles, stored
 from cadenza.llm.shingles import mixed, shingle_sets
 
 #: Links have 100 * intersection >= SHARE * union.
@@ -30,7 +30,7 @@ REGION_SHINGLES = 1 << 15
 LEAF, PIVOTS = 64, 12
 #: Pivots of a region in a distributed round, and the share of it beyond which a cell is not cut again.
 ROUND_PIVOTS, DENSE = 8, 0.7
-#: Bits of the filter of surviving sets: 8 a set, within these bounds (8 KB to 16 MB).
+#: Bits of the filter of surviving sets: 16 a set, within these bounds (8 KB to 16 MB).
 LEAST_FILTER, MOST_FILTER = 16, 27
 _KEY = (1 << 40) - 1
 
@@ -151,32 +151,44 @@ def _survivor_keys(docs: DataFrame, parts: int) -> DataFrame:
 def surviving_sets(docs: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
     """(k, n, s binary): the sets, one of each, that ``_survivor_keys`` can't rule out.
 
-    A bitmap of the survivors' keys, 16 MB at most, goes to all tasks to spare the other sets
-    the shuffle; it is only a filter, and the join after it is exact.
+    Only the document of least id in each surviving class is read as shingles again. A bitmap of
+    those ids and of the survivors' keys, 16 MB at most, goes to all tasks to spare the other
+    texts the work and the shuffle; it is only a filter, and the join after it is exact.
     """
     n = F.col("n")
     smaller = F.floor((n * SHARE + 99) / 100)
     counts = _survivor_keys(docs, parts)
-    keyed = classes.select("k", "n", F.greatest(F.col("k").bitwiseAND(F.lit(_KEY)), F.lit(1)).alias("key40")).join(counts, "key40")
-    keep = keyed.groupBy("k", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= F.floor(smaller * EXTRA / 100) + 1)
-    keep = stored(keep.select("k", "n"), "jaccard-keep")
-    size = 1 << min(MOST_FILTER, max(LEAST_FILTER, (8 * keep.count()).bit_length()))
-    slot = F.col("k") % size + 1
-    bits = keep.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m"))
+    keyed = classes.select("k", "n", "least", F.greatest(F.col("k").bitwiseAND(F.lit(_KEY)), F.lit(1)).alias("key40")).join(counts, "key40")
+    keep = keyed.groupBy("k", "n", "least").agg(F.sum("c").alias("c")).where(F.col("c") >= F.floor(smaller * EXTRA / 100) + 1)
+    keep = stored(keep.select("k", "n", "least"), "jaccard-keep")
+    del counts, keyed
+    free_shuffles(docs.sparkSession)
+    size = 1 << min(MOST_FILTER, max(LEAST_FILTER, (16 * keep.count()).bit_length()))
+
+    def place(id_col):
+        return F.pmod(F.xxhash64(id_col), F.lit(size).cast("long"))
+
+    slots = keep.select(F.explode(F.array(place("least"), F.col("k") % size)).alias("slot")).select((F.col("slot") + 1).alias("slot"))
+    bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m"))
     packed = np.zeros(size // 8, np.uint8)
     for r in bits.toLocalIterator():  # 4 KB of the bitmap each
         packed[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
 
+    def chosen(batches):
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((packed[slot >> 3] >> (slot & 7) & 1).astype(bool)))
+
     def emit(batches):
         seen: set[int] = set()
-        for batch in byte_slices(batches, "text", BATCH_BYTES):
+        for batch in byte_slices(chosen(batches), "text", BATCH_BYTES):
             sets = [(_key(s), s) for s in shingle_sets(batch.column("text")) if len(s)]
             sets = {k: s for k, s in sets if packed[k % size >> 3] >> (k % size & 7) & 1 and k not in seen}
             seen.update(sets)
             yield pa.record_batch([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["k", "s"])
 
-    sets = docs.select("text").mapInArrow(emit, "k long, s binary")
-    return sets.join(keep, "k").groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    sets = docs.select("text", place("doc_id").alias("slot")).mapInArrow(emit, "k long, s binary")
+    return sets.join(keep.select("k", "n"), "k").groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"))
 
 
 def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
@@ -435,9 +447,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = stored(classes, "jaccard-classes")
     named = docs.where("doc_id is not null")
     sets = stored(surviving_sets(named, classes, parts), "jaccard-sets")
-    regions = components(candidate_edges(sets, parts), "jaccard-regions").select(F.col("node").alias("k"), F.col("component").alias("region"))
+    free_shuffles(spark)
+    edges = stored(candidate_edges(sets, parts), "jaccard-edges")
+    free_shuffles(spark)
+    regions = components(edges, "jaccard-regions").select(F.col("node").alias("k"), F.col("component").alias("region"))
     placed = stored(sets.join(regions, "k").select("region", "k", "n", "s"), "jaccard-placed")
     discard(sets)
+    discard(edges)
+    free_shuffles(spark)
     joined = components(region_links(placed), "jaccard-links")
     labelled = classes.join(joined, F.col("k") == F.col("node"), "left").select("k", "n", "least", F.coalesce("component", "k").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
