@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +54,7 @@ def discard(df: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are used up: it does so when the driver collects garbage."""
+    gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
 
 

@@ -219,9 +219,15 @@ def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
     least = F.floor((n * SHARE + 99) / 100)
     prefix = ranked.where((m >= least) & (F.col("rank") <= (n - least + 1) - (n - m)))
     band = F.floor(F.log(n) / float(np.log(100 / (SHARE - 1))))  # a little wider than the threshold, for rounding
-    placed = prefix.select("s", "k", F.explode(F.array(band, band + 1)).alias("band"))
+    # written, so that the shuffles of all shingles are gone before those of the prefixes come
+    prefix = stored(prefix.select("s", "k", band.alias("band")), "jaccard-prefix")
+    del rows, often, seen, ranked
+    free_shuffles(sets.sparkSession)
+    placed = prefix.select("s", "k", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     hubs = placed.groupBy("s", "band").agg(F.min("k").alias("b"))
-    return placed.join(hubs, ["s", "band"]).where("k <> b").select(F.col("k").alias("a"), "b").distinct()
+    edges = stored(placed.join(hubs, ["s", "band"]).where("k <> b").select(F.col("k").alias("a"), "b").distinct(), "jaccard-edges")
+    discard(prefix)
+    return edges
 
 
 class Region:
@@ -448,7 +454,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = docs.where("doc_id is not null")
     sets = stored(surviving_sets(named, classes, parts), "jaccard-sets")
     free_shuffles(spark)
-    edges = stored(candidate_edges(sets, parts), "jaccard-edges")
+    edges = candidate_edges(sets, parts)
     free_shuffles(spark)
     regions = components(edges, "jaccard-regions").select(F.col("node").alias("k"), F.col("component").alias("region"))
     placed = stored(sets.join(regions, "k").select("region", "k", "n", "s"), "jaccard-placed")
