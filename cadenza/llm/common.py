@@ -41,6 +41,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """``df`` marked for a sort-merge join: a table that grows with the data is never gathered in the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame that ``stored`` made and that is used up."""
     spark = df.sparkSession
@@ -105,11 +110,11 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large-star: larger neighbours go to the least of the closed neighbourhood
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(sorted_join(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, name)
         # small-star: smaller neighbours and the node itself go to the least neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u")
+        pairs = large.join(sorted_join(least), "u")
         small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         new = stored(small, name)
         before, after = state, _edge_state(new)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import byte_slices, components, default_parts, discard, free_shuffles, stored
+from cadenza.llm.common import byte_slices, components, default_parts, discard, free_shuffles, sorted_join, stored
 from cadenza.llm.shingles import mixed, shingle_sets
 
 #: Links have 100 * intersection >= SHARE * union.
@@ -30,6 +30,8 @@ REGION_SHINGLES = 1 << 15
 LEAF, PIVOTS = 64, 12
 #: Pivots of a region in a distributed round, and the share of it beyond which a cell is not cut again.
 ROUND_PIVOTS, DENSE = 8, 0.7
+#: Shingles of a share or block of members that pivots don't cut; each share meets the blocks of fitting sizes.
+DENSE_SHINGLES = 1 << 19
 #: Bits of the filter of surviving sets: 16 a set, within these bounds (8 KB to 16 MB).
 LEAST_FILTER, MOST_FILTER = 16, 27
 _KEY = (1 << 40) - 1
@@ -53,6 +55,11 @@ def _classes_apart() -> int:
     return int(np.ceil(np.log(100 / SHARE) / np.log(1.02))) + 1
 
 
+def _band(n):
+    """Linked sets lie in the same or neighbouring bands of size: a little wider than the threshold, for rounding."""
+    return F.floor(F.log(n) / float(np.log(100 / (SHARE - 1))))
+
+
 def _key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
 
@@ -158,7 +165,7 @@ def surviving_sets(docs: DataFrame, classes: DataFrame, parts: int) -> DataFrame
     n = F.col("n")
     smaller = F.floor((n * SHARE + 99) / 100)
     counts = _survivor_keys(docs, parts)
-    keyed = classes.select("k", "n", "least", F.greatest(F.col("k").bitwiseAND(F.lit(_KEY)), F.lit(1)).alias("key40")).join(counts, "key40")
+    keyed = classes.select("k", "n", "least", F.greatest(F.col("k").bitwiseAND(F.lit(_KEY)), F.lit(1)).alias("key40")).join(sorted_join(counts), "key40")
     keep = keyed.groupBy("k", "n", "least").agg(F.sum("c").alias("c")).where(F.col("c") >= F.floor(smaller * EXTRA / 100) + 1)
     keep = stored(keep.select("k", "n", "least"), "jaccard-keep")
     del counts, keyed
@@ -188,7 +195,7 @@ def surviving_sets(docs: DataFrame, classes: DataFrame, parts: int) -> DataFrame
             yield pa.record_batch([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["k", "s"])
 
     sets = docs.select("text", place("doc_id").alias("slot")).mapInArrow(emit, "k long, s binary")
-    return sets.join(keep.select("k", "n"), "k").groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    return sets.join(sorted_join(keep.select("k", "n")), "k").groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"))
 
 
 def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
@@ -212,20 +219,19 @@ def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
 
     rows = sets.select("k", "n", "s").mapInArrow(explode, "s long, n long, k long")
     often = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    seen = rows.join(often, "s")
+    seen = rows.join(sorted_join(often), "s")
     order = Window.partitionBy("k").orderBy("df", "s")
     n, m = F.col("n"), F.col("m")
     ranked = seen.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy("k")))
     least = F.floor((n * SHARE + 99) / 100)
     prefix = ranked.where((m >= least) & (F.col("rank") <= (n - least + 1) - (n - m)))
-    band = F.floor(F.log(n) / float(np.log(100 / (SHARE - 1))))  # a little wider than the threshold, for rounding
     # written, so that the shuffles of all shingles are gone before those of the prefixes come
-    prefix = stored(prefix.select("s", "k", band.alias("band")), "jaccard-prefix")
+    prefix = stored(prefix.select("s", "k", _band(n).alias("band")), "jaccard-prefix")
     del rows, often, seen, ranked
     free_shuffles(sets.sparkSession)
     placed = prefix.select("s", "k", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     hubs = placed.groupBy("s", "band").agg(F.min("k").alias("b"))
-    edges = stored(placed.join(hubs, ["s", "band"]).where("k <> b").select(F.col("k").alias("a"), "b").distinct(), "jaccard-edges")
+    edges = stored(placed.join(sorted_join(hubs), ["s", "band"]).where("k <> b").select(F.col("k").alias("a"), "b").distinct(), "jaccard-edges")
     discard(prefix)
     return edges
 
@@ -320,7 +326,7 @@ def _sets(table: pa.Table, column: str = "s") -> list[np.ndarray]:
 
 
 def _split(pivots: pa.Table, members: pa.Table) -> pa.Table:
-    """Members of one share of a region, once for each cell in whose window they are: (cell, p, k, n, s, inside).
+    """Members of one share of a region, once for each cell in whose window they are: (region, cell, p, k, n, inside).
 
     ``inside`` tells of a link with the cell's pivot p; the triangle inequality puts both ends of
     every other link into the cell that is nearest to one of them.
@@ -336,12 +342,12 @@ def _split(pivots: pa.Table, members: pa.Table) -> pa.Table:
     distance = 1 - shared / union
     cell, row = np.nonzero(distance <= distance.min(0) + 2 * (1 - SHARE / 100) + 1e-9)
     inside = 100 * shared[cell, row] >= SHARE * union[cell, row]
-    out = members.select(["k", "n", "s"]).take(pa.array(row))
-    return pa.table([pivots["cell"].take(pa.array(by_name[cell])), pa.array(names[by_name[cell]]), *out.columns, pa.array(inside)], names=["cell", "p", "k", "n", "s", "inside"])
+    out = members.select(["region", "k", "n"]).take(pa.array(row))
+    return pa.table([out["region"], pivots["cell"].take(pa.array(by_name[cell])), pa.array(names[by_name[cell]]), out["k"], out["n"], pa.array(inside)], names=["region", "cell", "p", "k", "n", "inside"])
 
 
 def _cut(regions: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(region, cell, p, k, n, s, inside): ``regions(region, k, n, s)`` cut by pivots.
+    """(region, cell, p, k, n, inside): ``regions(region, k, n, s)`` cut by pivots; the sets themselves are not copied.
 
     Pivots are the members of least hash, for several hashes. A region is dealt to shares of
     ``REGION_SHINGLES`` by a hash of its members; its few pivots go to all its shares.
@@ -352,7 +358,7 @@ def _cut(regions: DataFrame, sizes: DataFrame) -> DataFrame:
     shares = sizes.select("region", F.ceil(F.col("shingles") / REGION_SHINGLES).cast("int").alias("shares"))
     dealt = regions.join(shares, "region").select("region", F.pmod(F.xxhash64("k"), "shares").cast("int").alias("share"), "k", "n", "s")
     everywhere = pivots.join(shares, "region").select(F.col("region").alias("of"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("at"), "cell", "p", "t")
-    return everywhere.groupBy("of", "at").cogroup(dealt.groupBy("region", "share")).applyInArrow(_split, "cell long, p long, k long, n long, s binary, inside boolean")
+    return everywhere.groupBy("of", "at").cogroup(dealt.groupBy("region", "share")).applyInArrow(_split, "region long, cell long, p long, k long, n long, inside boolean")
 
 
 def _inside_links(table: pa.Table) -> pa.Table:
@@ -373,18 +379,26 @@ def _forest(region: Region, k: np.ndarray, first: np.ndarray) -> pa.Table:
     return pa.table({"a": k[new], "b": k[root[new]]})
 
 
-def _dense_links(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+def _dense_links(cells: DataFrame) -> DataFrame:
     """(a, b): the links within ``cells(region, k, n, s, inside)`` that pivots don't cut further.
 
     Members linked with the pivot are one component already, so only pairs with a member
-    outside it are compared: members are dealt to shares, and outsiders, in blocks, meet all
-    of them. A group of near copies has few outsiders, however large it is.
+    outside it are compared: members are dealt to shares, and outsiders, in blocks, meet those
+    whose sizes fit. A group of near copies has few outsiders, however large it is, and a
+    region of one share is sent once; beyond that it is dealt by bands of size.
     """
-    outside = cells.where("not inside").groupBy("region").agg(F.sum("n").alias("out"))
-    plan = sizes.join(outside, "region").select("region", *[F.ceil(F.col(c) / REGION_SHINGLES).cast("int").alias(n) for c, n in (("shingles", "shares"), ("out", "blocks"))])
-    both = cells.join(plan, "region")
-    left = both.select("region", F.pmod(F.xxhash64("k"), "shares").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "k", "s", "inside")
-    others = both.where("not inside").select(F.col("region").alias("of"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("x"), F.pmod(F.xxhash64("k"), "blocks").cast("int").alias("y"), F.col("k").alias("o"), F.col("s").alias("t"))
+    rows = cells.select("region", "k", "n", "inside")
+    whole = rows.groupBy("region").agg((F.sum("n") > DENSE_SHINGLES).alias("several"))
+    band = F.when(F.col("several"), _band(F.col("n"))).otherwise(F.lit(0)).cast("long").alias("band")
+    banded = rows.join(whole, "region").select("region", band, "n", "inside")
+    parts = lambda c: F.ceil(F.sum(c) / DENSE_SHINGLES).cast("int")
+    plan = stored(banded.groupBy("region", "band").agg(parts(F.col("n")).alias("shares"), parts(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("blocks")), "jaccard-plan")
+    both = cells.join(whole, "region").select("region", band, "k", "s", "inside").join(plan, ["region", "band"])
+    meets = plan.select("region", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("other"), F.col("shares").alias("their_shares"), F.col("blocks").alias("their_blocks"))
+    placed = both.select("region", "band", F.pmod(F.xxhash64("k"), "shares").cast("int").alias("i"), "k", "s", "inside").join(meets.where("their_blocks > 0").drop("their_shares"), ["region", "band"])
+    left = placed.select("region", "band", "i", "other", F.explode(F.sequence(F.lit(0), F.col("their_blocks") - 1)).alias("j"), "k", "s", "inside")
+    outside = both.where("not inside").select("region", "band", F.pmod(F.xxhash64("k"), "blocks").cast("int").alias("y"), F.col("k").alias("o"), F.col("s").alias("t")).join(meets.drop("their_blocks"), ["region", "band"])
+    others = outside.select(F.col("region").alias("of"), F.col("other").alias("their"), F.explode(F.sequence(F.lit(0), F.col("their_shares") - 1)).alias("x"), F.col("band").alias("own"), "y", "o", "t")
 
     def compare(members: pa.Table, outsiders: pa.Table) -> pa.Table:
         if not len(members) or not len(outsiders):
@@ -403,15 +417,28 @@ def _dense_links(cells: DataFrame, sizes: DataFrame) -> DataFrame:
                 region.link(i, rest)
         return _forest(region, k, first)
 
-    return left.groupBy("region", "i", "j").cogroup(others.groupBy("of", "x", "y")).applyInArrow(compare, "a long, b long")
+    return left.groupBy("region", "band", "i", "other", "j").cogroup(others.groupBy("of", "their", "x", "own", "y")).applyInArrow(compare, "a long, b long")
+
+
+def _uncut(large: DataFrame, cells: DataFrame, dense: DataFrame) -> DataFrame:
+    """(region, k, n, s, inside): the members of ``dense`` cells, once for each region that they were cut from.
+
+    Where pivots don't part a region, each of its cells holds nearly all of it, so they are
+    taken together; ``inside`` tells of a link with the pivot that is linked with most.
+    """
+    own = cells.join(dense.select(F.col("region").alias("cell")), "cell", "left_semi")
+    tied = own.where("inside").groupBy("region", "cell").agg(F.sum("n").alias("tied"))
+    best = tied.groupBy("region").agg(F.max(F.struct("tied", "cell"))["cell"].alias("best"))
+    members = own.join(best, "region").groupBy("region", "k").agg(F.bool_or(F.col("inside") & (F.col("cell") == F.col("best"))).alias("inside"))
+    return large.join(sorted_join(members), ["region", "k"]).select("region", "k", "n", "s", "inside")
 
 
 def region_links(placed: DataFrame) -> DataFrame:
     """(a, b): edges whose components are those of all links within ``placed(region, k, n, s)``.
 
     Regions that a task can hold are joined in memory. Larger ones are cut by pivots, round
-    by round; a cell that keeps most of its region is compared as it is, outsiders of
-    its pivot against all.
+    by round; cells that keep most of their region are compared as one, outsiders of
+    a pivot against all.
     """
     spark = placed.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -426,13 +453,19 @@ def region_links(placed: DataFrame) -> DataFrame:
         large = cur.join(big.select("region"), "region", "left_semi").select("region", "k", "n", "s")
         above = large.select("region", F.col("k").alias("p")).join(big, "region").select(F.xxhash64("region", "p").alias("cell"), F.col("shingles").alias("whole"))
         cells = stored(_cut(large, big), "jaccard-cells")
-        links = links.union(cells.where("inside and k <> p").select(F.col("k").alias("a"), F.col("p").alias("b")))
-        cells = cells.select(F.col("cell").alias("region"), "k", "n", "s", "inside")
-        found = cells.groupBy("region").agg(F.sum("n").alias("shingles"), F.bool_and("inside").alias("done")).where("not done")
+        links = links.union(stored(cells.where("inside and k <> p").select(F.col("k").alias("a"), F.col("p").alias("b")), "jaccard-tied"))
+        found = cells.groupBy(F.col("cell").alias("region")).agg(F.sum("n").alias("shingles"), F.bool_and("inside").alias("done")).where("not done")
         judged = stored(found.join(above.withColumnRenamed("cell", "region"), "region"), "jaccard-judged")
         dense = judged.where((F.col("shingles") > DENSE * F.col("whole")) & (F.col("shingles") > REGION_SHINGLES))
-        links = links.union(stored(_dense_links(cells.join(dense.select("region"), "region", "left_semi"), dense.select("region", "shingles")), "jaccard-dense"))
-        cur = cells.join(judged.join(dense, "region", "left_anti").select("region"), "region", "left_semi")
+        uncut = stored(_uncut(large, cells, dense), "jaccard-uncut")
+        links = links.union(stored(_dense_links(uncut), "jaccard-dense"))
+        discard(uncut)
+        again = cells.join(judged.join(dense, "region", "left_anti").select(F.col("region").alias("cell")), "cell", "left_semi")
+        del cur
+        cur = stored(again.select("region", "cell", "k", "inside").join(sorted_join(large), ["region", "k"]).select(F.col("cell").alias("region"), "k", "n", "s", "inside"), "jaccard-again")
+        discard(cells)
+        del large, above, cells, found, judged, dense, uncut, again, own
+        free_shuffles(spark)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -457,16 +490,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     edges = candidate_edges(sets, parts)
     free_shuffles(spark)
     regions = components(edges, "jaccard-regions").select(F.col("node").alias("k"), F.col("component").alias("region"))
-    placed = stored(sets.join(regions, "k").select("region", "k", "n", "s"), "jaccard-placed")
+    placed = stored(sets.join(sorted_join(regions), "k").select("region", "k", "n", "s"), "jaccard-placed")
     discard(sets)
     discard(edges)
     free_shuffles(spark)
     joined = components(region_links(placed), "jaccard-links")
-    labelled = classes.join(joined, F.col("k") == F.col("node"), "left").select("k", "n", "least", F.coalesce("component", "k").alias("root"))
+    labelled = classes.join(sorted_join(joined), F.col("k") == F.col("node"), "left").select("k", "n", "least", F.coalesce("component", "k").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = stored(labelled.join(lowest, "root").select("k", "n", "component_id"), "jaccard-labels")
+    by_class = stored(labelled.join(sorted_join(lowest), "root").select("k", "n", "component_id"), "jaccard-labels")
     discard(placed)
-    out = light.join(by_class, ["k", "n"], "left")
+    out = light.join(sorted_join(by_class), ["k", "n"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cadenza.llm import embeddings, fingerprints, jaccard, suffixes
 from cadenza.llm.common import components
@@ -156,6 +157,21 @@ def test_jaccard(spark, near_copies, monkeypatch, size, dense, leaf):
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
 
 
+def test_regions_that_pivots_do_not_cut(spark, near_copies, monkeypatch):
+    """They are compared once, not once for each cell, and in shares of fitting sizes give the same links."""
+    for name, value in (("REGION_SHINGLES", 64), ("DENSE", 0.1), ("DENSE_SHINGLES", 256)):
+        monkeypatch.setattr(jaccard, name, value)
+    docs = spark.createDataFrame(near_copies, "doc_id long, text string")
+    rows = jaccard.jaccard_components(docs)
+    assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in rows.collect() if r.doc_id is not None) == jaccard_brute(near_copies)
+    apart = [(1, i, 50, np.arange(100 * i, 100 * i + 50, dtype=np.uint64).tobytes()) for i in range(1, 41)]
+    large = spark.createDataFrame(apart, "region long, k long, n long, s binary")
+    cells = jaccard._cut(large, spark.createDataFrame([(1, 2000)], "region long, shingles long")).cache()
+    members = jaccard._uncut(large, cells, cells.select(F.col("cell").alias("region")).distinct()).collect()
+    assert cells.count() > 100 and sorted(r.k for r in members) == list(range(1, 41))
+
+
 def test_jaccard_of_tables(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert sorted(map(tuple, jaccard.op3_jaccard(spark, small).collect())) == jaccard_brute(docs)
