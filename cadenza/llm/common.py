@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.session import shared_folder, ship
+from cadenza.session import discard, free_shuffles, ship, stored  # noqa: F401
 
 
 #: Bytes of the rows that Spark sends to a Python worker at once, where the session names no bound of its own.
@@ -30,39 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and reread it.
-
-    Cuts the lineage: a lost executor costs no more than the stage that it ran.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cadenza-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sorted_join(df: DataFrame) -> DataFrame:
     """``df`` marked for a sort-merge join: a table that grows with the data is never gathered in the driver for a broadcast."""
     return df.hint("merge")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``stored`` made and that is used up."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if "/cadenza-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are used up: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def default_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -25,7 +25,7 @@ from cadenza.plans import fixtures as fx
 from cadenza.plans import layout as L
 from cadenza.plans.experiment import experiment_violations
 from cadenza.plans.runners import run_grid
-from cadenza.session import checkpointed
+from cadenza.session import checkpointed, free_shuffles, stored
 from cadenza.streaming.popularity import windowed_popularity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -570,8 +570,10 @@ def itemknn_bm25(spark, sf):
 
 
 def _knn_frames(spark, sf, weighting="cosine"):
-    train = checkpointed(_train(spark, sf))
-    return train, checkpointed(M.item_neighbours(train, NEIGHBOURS, weighting=weighting, min_cooccurrence=2))
+    train = stored(_train(spark, sf), "train")
+    similar = stored(M.item_neighbours(train, NEIGHBOURS, weighting=weighting, min_cooccurrence=2), "similar")
+    free_shuffles(spark)
+    return train, similar
 
 
 @query(f"WITH {SQL_SPLIT}{_sql_knn('conf')}{SQL_CF}, {_sql_top('cf', where='score > 0')} {SQL_RECS}")
@@ -664,9 +666,7 @@ def hybrid_sparse(spark, sf):
 @query(f"WITH {SQL_SPLIT}{_sql_knn('conf')}{SQL_CF}{SQL_CONTENT_ONLY}, whole AS (SELECT user_id, item_id, coalesce(cf.score, 0) AS score FROM content LEFT JOIN cf USING (user_id, item_id)), {_sql_scaled('whole', 'a')}, {_sql_scaled('content', 'b')}, mixed AS (SELECT user_id, item_id, 0.9 * a.x + 0.1 * b.x AS score FROM a JOIN b USING (user_id, item_id)), {_sql_top('mixed')} {SQL_RECS}")
 def hybrid_dense(spark, sf):
     train, similar = _knn_frames(spark, sf)
-    vectors = _vectors(spark, sf)
-    content = M.content_scores(M.content_profiles(train, vectors), vectors)
-    return rounded(M.top_k_unseen(M.hybrid_dense(M.neighbour_scores(train, similar), content, 0.9), train, TOP), "score")
+    return rounded(M.recommend_hybrid(train, similar, _vectors(spark, sf), TOP, cf_weight=0.9), "score")
 
 
 # Metrics
