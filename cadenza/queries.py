@@ -658,9 +658,7 @@ SQL_CONTENT_ONLY = SQL_CONTENT
 @query(f"WITH {SQL_SPLIT}{_sql_knn('conf')}{SQL_CF}{SQL_CONTENT_ONLY}, {_sql_scaled('cf', 'a')}, {_sql_scaled('content', 'b')}, mixed AS (SELECT user_id, item_id, 0.6 * coalesce(a.x, 0) + 0.4 * coalesce(b.x, 0) AS score FROM a FULL JOIN b USING (user_id, item_id)), {_sql_top('mixed')} {SQL_RECS}")
 def hybrid_sparse(spark, sf):
     train, similar = _knn_frames(spark, sf)
-    vectors = _vectors(spark, sf)
-    content = M.content_scores(M.content_profiles(train, vectors), vectors)
-    return rounded(M.top_k_unseen(M.hybrid_sparse(M.neighbour_scores(train, similar), content), train, TOP), "score")
+    return rounded(M.recommend_hybrid(train, similar, _vectors(spark, sf), TOP, dense=False), "score")
 
 
 @query(f"WITH {SQL_SPLIT}{_sql_knn('conf')}{SQL_CF}{SQL_CONTENT_ONLY}, whole AS (SELECT user_id, item_id, coalesce(cf.score, 0) AS score FROM content LEFT JOIN cf USING (user_id, item_id)), {_sql_scaled('whole', 'a')}, {_sql_scaled('content', 'b')}, mixed AS (SELECT user_id, item_id, 0.9 * a.x + 0.1 * b.x AS score FROM a JOIN b USING (user_id, item_id)), {_sql_top('mixed')} {SQL_RECS}")
