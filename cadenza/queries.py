@@ -643,9 +643,8 @@ multi AS (SELECT user_id, item_id, 0.1 * score + 0.9 * coalesce(l, 0) AS score F
 
 @query(f"WITH {SQL_SPLIT}{SQL_MULTI}, {_sql_top('multi')} {SQL_RECS}")
 def multi_interest(spark, sf):
-    train = checkpointed(_train(spark, sf))
-    scores = M.multi_interest_scores(train, _vectors(spark, sf), fx.fixture(spark, sf, fx.LABELS))
-    return rounded(M.top_k_unseen(scores, train, TOP), "score")
+    train = stored(_train(spark, sf), "train")
+    return rounded(M.recommend_multi_interest(train, _vectors(spark, sf), fx.fixture(spark, sf, fx.LABELS), TOP), "score")
 
 
 def _sql_scaled(source: str, name: str) -> str:
