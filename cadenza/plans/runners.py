@@ -13,7 +13,7 @@ from cadenza.operators import models as M
 from cadenza.operators.factorization import ImplicitALS, sgd_factors
 from cadenza.operators.metrics import assert_unseen, evaluate_topk, single_truth_metrics
 from cadenza.operators.splits import country_sample, leave_largest_out
-from cadenza.session import checkpointed
+from cadenza.session import checkpointed, free_shuffles
 
 
 def grid(**options) -> list[dict]:
@@ -40,6 +40,7 @@ def run_grid(configs: list[dict], recommend: Callable[..., DataFrame], seen: Dat
         assert_unseen(recs, seen)
         rows = evaluate_topk(recs, truth, catalog, k_values).collect()
         recs.unpersist()
+        free_shuffles(seen.sparkSession)
         scores = {f"{name}@{r.k}": getattr(r, name) for r in rows for name in ("recall", "ndcg", "hit_rate", "coverage")}
         results.append({"config": config, "metrics": scores, "seconds": time.perf_counter() - began})
     best = f"ndcg@{max(k_values)}"

@@ -731,10 +731,13 @@ def _sql_ndcg(n: int, weighting: str) -> str:
 
 @query("SELECT *, row_number() OVER (ORDER BY ndcg DESC, neighbours::VARCHAR, weighting)::BIGINT AS place FROM (" + " UNION ALL ".join(_sql_ndcg(n, w) for n in (20, 50) for w in ("cosine", "bm25")) + ")")
 def grid_ranking(spark, sf):
-    train, truth = checkpointed(_train(spark, sf)), _truth(spark, sf)
+    train, truth = stored(_train(spark, sf), "train"), stored(_truth(spark, sf), "truth")
+    # the nearest 20 are the first of the nearest 50
+    similar = {w: stored(M.item_neighbours(train, 50, weighting=w, min_cooccurrence=2), "similar") for w in ("cosine", "bm25")}
+    free_shuffles(spark)
 
     def recommend(neighbours, weighting):
-        return M.recommend_neighbours(train, M.item_neighbours(train, neighbours, weighting=weighting, min_cooccurrence=2), 20)
+        return M.recommend_neighbours(train, similar[weighting].where(F.col("rank") <= neighbours), 20)
 
     found = run_grid([{"neighbours": n, "weighting": w} for n in (20, 50) for w in ("cosine", "bm25")], recommend, train, truth, train)
     rows = [(r["config"]["neighbours"], r["config"]["weighting"], round(r["metrics"]["ndcg@20"], 6), i + 1) for i, r in enumerate(found)]
