@@ -2,7 +2,9 @@ import hashlib
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from cadenza.llm import packing, pieces, token_counts
@@ -110,3 +112,28 @@ def test_long_texts_without_blanks(spark):
 def test_empty(docs):
     none = docs.limit(0)
     assert token_counts.token_counts(none, BPE).collect() == packing.pack_power_of_two(none, BPE).collect() == pieces.round_trip_digests(none, PIECES).collect() == []
+
+
+def test_joined_chunks():
+    """Chunks encoded as one text give the ids of whole texts, white space and special strings included."""
+    from tokenizers import Tokenizer
+
+    from cadenza.llm.chunktable import byte_level_table
+
+    odd = ["", " ", "a  b", " a b ", "x <|endoftext|> y<|endoftext|>z", "a\n b c\t d", "it 's 's don't", "日本 語 a　b　c", "\x1c a \x85b c", "é ́x", "end ", "1 22 333  4444"]
+    texts = odd + [" ".join(odd), "".join(odd), "\n".join(odd), " x" * 100_000]
+    sizes, flat = byte_level_table(BPE).ids(pa.array([*texts, None]))
+    whole = [e.ids for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [*map(len, whole), 0]
+    assert flat.tolist() == [i for ids in whole for i in ids]
+
+
+def test_remembered_chunks():
+    """A second batch of 200,000 chunks that are known is not encoded again."""
+    from cadenza.llm.chunktable import byte_level_table
+
+    table = byte_level_table(BPE)
+    texts = pa.array([" ".join(f"w{i:x}" for i in range(200_000))])
+    first = table.ids(texts)
+    table.encode = table.joined = lambda chunks: pytest.fail(f"{len(chunks)} chunks are encoded again")
+    assert all(map(np.array_equal, first, table.ids(texts)))
