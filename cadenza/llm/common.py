@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,6 +56,27 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> I
         yield batch.slice(first)
 
 
+def release() -> None:
+    """Give memory that Python and Arrow have freed back to the system; their allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, with ``release`` at its end: workers live on from stage to stage, and so would what they hold."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return outer
+
+
 def in_fold(doc_id, modulus: int, fold: int):
     """Whether crc32 of the id as decimal text leaves ``fold``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == fold

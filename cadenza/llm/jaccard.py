@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import byte_slices, components, default_parts, discard, free_shuffles, sorted_join, stored
+from cadenza.llm.common import byte_slices, components, default_parts, discard, free_shuffles, released, sorted_join, stored
 from cadenza.llm.shingles import mixed, shingle_sets
 
 #: Links have 100 * intersection >= SHARE * union.
@@ -73,7 +73,7 @@ def set_table(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n long, k long")
 
 
 def _shared(s: np.ndarray, v: np.ndarray, apart: int) -> np.ndarray:
@@ -149,9 +149,9 @@ def _survivor_keys(docs: DataFrame, parts: int) -> DataFrame:
             keys, n = np.unique(v[shared & (v & _KEY > 0)], return_counts=True)
             yield pa.record_batch([pa.array(keys), pa.array(n.astype(np.int32))], names=["v", "c"])
 
-    entries = docs.select("text").mapInArrow(emit, "s long, v long, c int").repartition(parts, "s").sortWithinPartitions("s", "v")
+    entries = docs.select("text").mapInArrow(released(emit), "s long, v long, c int").repartition(parts, "s").sortWithinPartitions("s", "v")
     # a set's entries lie in different tasks, so there is nothing to combine before this shuffle
-    counts = entries.mapInArrow(count, "v long, c int").repartition(parts, "v").groupBy("v").agg(F.sum("c").alias("c"))
+    counts = entries.mapInArrow(released(count), "v long, c int").repartition(parts, "v").groupBy("v").agg(F.sum("c").alias("c"))
     return counts.select(F.col("v").bitwiseAND(F.lit(_KEY)).alias("key40"), "c")
 
 
@@ -194,7 +194,7 @@ def surviving_sets(docs: DataFrame, classes: DataFrame, parts: int) -> DataFrame
             seen.update(sets)
             yield pa.record_batch([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["k", "s"])
 
-    sets = docs.select("text", place("doc_id").alias("slot")).mapInArrow(emit, "k long, s binary")
+    sets = docs.select("text", place("doc_id").alias("slot")).mapInArrow(released(emit), "k long, s binary")
     return sets.join(sorted_join(keep.select("k", "n")), "k").groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"))
 
 
@@ -217,7 +217,7 @@ def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
                 flat = np.concatenate([np.empty(0, np.int64), *arrays])
                 yield pa.record_batch([pa.array(flat), pa.array(np.repeat(part.column("n").to_numpy(), lens)), pa.array(np.repeat(part.column("k").to_numpy(), lens))], names=["s", "n", "k"])
 
-    rows = sets.select("k", "n", "s").mapInArrow(explode, "s long, n long, k long")
+    rows = sets.select("k", "n", "s").mapInArrow(released(explode), "s long, n long, k long")
     often = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     seen = rows.join(sorted_join(often), "s")
     order = Window.partitionBy("k").orderBy("df", "s")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import byte_slices
+from cadenza.llm.common import byte_slices, release
 from cadenza.llm.token_counts import _table
 
 #: Bytes of text whose ids and pieces are held at once.
@@ -58,6 +58,8 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, length: int = 1024,
                         column.append(value)
                     start += size
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            del sizes, flat, ids, raw, out, values
+            release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spec = "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids

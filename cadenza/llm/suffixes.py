@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import byte_slices, default_parts, discard, stored
+from cadenza.llm.common import byte_slices, default_parts, discard, released, stored
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are searched for anchors at once; positions must fit 24 bits.
@@ -185,7 +185,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                     names=["h", "c", "uid", "p", "m", "d"],
                 )
 
-    return docs.select("uid", "text").mapInArrow(emit, "h long, c long, uid long, p long, m short, d short")
+    return docs.select("uid", "text").mapInArrow(released(emit), "h long, c long, uid long, p long, m short, d short")
 
 
 def _stretches(dealt: DataFrame, length: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _stretches(dealt: DataFrame, length: int) -> DataFrame:
                     columns = [key, shares > 1, np.full(len(h), uid), p, d.astype(np.int16)]
                     yield pa.record_batch([*(pa.array(c[low:high]) for c in columns), pa.array(bodies, pa.binary())], names=["key", "hot", "uid", "p", "d", "body"])
 
-    return dealt.select("uid", "text", "marks").mapInArrow(emit, "key long, hot boolean, uid long, p long, d short, body binary")
+    return dealt.select("uid", "text", "marks").mapInArrow(released(emit), "key long, hot boolean, uid long, p long, d short, body binary")
 
 
 def _sorted_spans(rows: DataFrame, parts: int, length: int) -> DataFrame:
@@ -306,7 +306,7 @@ def _sorted_spans(rows: DataFrame, parts: int, length: int) -> DataFrame:
         return settle(table["key"].to_numpy(), hot, *(table[c].to_numpy() for c in ("uid", "p", "d")), table["body"].to_pylist())
 
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "state short, uid long, a long, b long, key long, key2 long")
+    return dealt.mapInArrow(released(run), "state short, uid long, a long, b long, key long, key2 long")
 
 
 def _across_shares(settled: DataFrame, length: int) -> DataFrame:
@@ -371,7 +371,7 @@ def _without_repeats(rows: DataFrame, length: int, kept: str | None) -> DataFram
 
     types = dict(rows.dtypes)
     spec = ", ".join([f"{c} {types[c]}" for c in others] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + [f"kept {kept}"] * bool(kept))
-    return whole.select(*others, "__text", "__spans").mapInArrow(cut, spec)
+    return whole.select(*others, "__text", "__spans").mapInArrow(released(cut), spec)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", kept: str | None = "binary") -> DataFrame:

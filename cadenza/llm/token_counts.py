@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import byte_slices
+from cadenza.llm.common import byte_slices, released
 
 #: Bytes of text encoded at once in a worker.
 BATCH_BYTES = 12 << 20
@@ -42,7 +42,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield pa.record_batch([batch.column("id"), pc.binary_length(text).cast(pa.int64()), pa.array(table.lengths(text))], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def op5_token_counts(spark, sf_dir: str, limit: int = 512) -> DataFrame:

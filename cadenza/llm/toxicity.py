@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import byte_slices, in_fold, stored
+from cadenza.llm.common import byte_slices, in_fold, release, released, stored
 
 #: Lengths of the character n-grams, and the bits of their hash.
 SIZES, BITS = (3, 4, 5), 22
@@ -179,7 +179,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
             part = used[at : at + 100_000]
             yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(held[1, part].astype(np.int32)), pa.array(held[0, part].astype(np.int32))], names=["feature", "a", "b"])
 
-    counts = sample.mapInArrow(count, "feature int, a int, b int").groupBy("feature").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    counts = sample.mapInArrow(released(count), "feature int, a int, b int").groupBy("feature").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
     n = toxic + clean
 
     def cell(seen, rows_in_class, feature_total):
@@ -200,7 +200,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
             lists = np.split(feature.astype(np.int32), np.searchsorted(doc, np.arange(1, batch.num_rows)))
             yield pa.record_batch([batch.column("y"), pa.array([x.tobytes() for x in lists], pa.binary())], names=["y", "features"])
 
-    found = sample.select("doc_id", "text", "y").mapInArrow(index, "y int, features binary")
+    found = sample.select("doc_id", "text", "y").mapInArrow(released(index), "y int, features binary")
     lists = [(r.y, np.frombuffer(bytes(r.features), np.int32)) for r in found.toLocalIterator()]
     lists.sort(key=lambda r: (r[0], xxhash.xxh3_128_intdigest(r[1])))  # the sum's order, so that runs agree to the last bit
     ends = np.cumsum([len(x) for _, x in lists])
@@ -218,6 +218,10 @@ def toxicity_column(model: ToxicityModel, text):
             texts = pa.array(column.fillna(""), pa.string())
             parts = [model.scores(b.column(0).to_pylist(), place) for b in byte_slices(iter([pa.record_batch([texts], names=["t"])]), "t", BATCH_BYTES)]
             yield pd.Series(np.concatenate([np.empty(0), *parts]))
+            del column, texts, parts
+            release()
+        del place
+        release()
 
     return score(text)
 

@@ -1,4 +1,8 @@
+import re
+from pathlib import Path
+
 import corpus_pipeline
+import numpy as np
 from test_duplicates import jaccard_brute, repeats
 
 from cadenza.llm.common import stored
@@ -55,3 +59,20 @@ def test_stage_cases(spark, small, tmp_path):
         if name == "repeated_passages":
             assert all(r.n_chars == len(r.text) for r in out.collect())
     assert corpus_pipeline.packing(spark, docs, small).where("start = 0").count() == 6 and corpus_pipeline.packing(spark, docs.limit(0), small).count() == 0
+
+
+def test_released():
+    """What a worker has freed goes back to the system at the end of its task."""
+    from cadenza.llm.common import released
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    def run(batches):
+        pinned.extend([np.zeros(1000, np.uint8) for _ in range(200_000)][::1000])  # freed but for these
+        sizes.append(held())
+        yield from batches
+
+    pinned, sizes = [], []
+    assert list(released(run)(iter([1, 2]))) == [1, 2]
+    assert held() < sizes[0] - 100
